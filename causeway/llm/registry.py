@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from causeway.llm.near_dup import op2_minhash_fss
 from causeway.llm.quality import op1_quality_llr
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_llr,)}
+    return {f.__name__: f for f in (op1_quality_llr, op2_minhash_fss)}
 
 
 def oracle_sql() -> dict[str, str]:
