@@ -54,10 +54,10 @@ class ChunkIds:
         index, at = self.index, []
         for text in texts:
             words = (text or b"").split()
-            new = set(words) - index.keys() if words else ()
-            for w in new:
-                index[w] = len(index)
-                self.size += len(w)
+            for w in set(words):
+                if w not in index:
+                    index[w] = len(index)
+                    self.size += len(w)
             at.append(np.fromiter(map(index.__getitem__, words), dtype=np.int64, count=len(words)))
         if fresh := [w.decode("utf-8", "replace") for w in list(index)[len(self.offsets) - 1 :]]:
             ids = [e.ids for e in self.tokenizer.encode_batch(fresh, add_special_tokens=False)]

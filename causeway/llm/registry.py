@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from causeway.llm.bpe import op4_bpe_duckdb
 from causeway.llm.near_dup import op2_minhash_fss
 from causeway.llm.packing import op9_bestfit_bounds
 from causeway.llm.quality import op1_quality_llr
@@ -9,7 +10,7 @@ from causeway.llm.secrets import op8_secret_tokens
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_llr, op2_minhash_fss, op8_secret_tokens, op9_bestfit_bounds)}
+    return {f.__name__: f for f in (op1_quality_llr, op2_minhash_fss, op4_bpe_duckdb, op8_secret_tokens, op9_bestfit_bounds)}
 
 
 def oracle_sql() -> dict[str, str]:
