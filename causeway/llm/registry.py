@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from causeway.llm.bpe import op4_bpe_duckdb
 from causeway.llm.fingerprint import op7_canonical_xxhash
+from causeway.llm.language import op6_hyperdimensional
 from causeway.llm.near_dup import op2_minhash_fss
 from causeway.llm.packing import op9_bestfit_bounds
 from causeway.llm.quality import op1_quality_llr
@@ -11,7 +12,7 @@ from causeway.llm.secrets import op8_secret_tokens
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_llr, op2_minhash_fss, op4_bpe_duckdb, op7_canonical_xxhash, op8_secret_tokens, op9_bestfit_bounds)}
+    return {f.__name__: f for f in (op1_quality_llr, op2_minhash_fss, op4_bpe_duckdb, op6_hyperdimensional, op7_canonical_xxhash, op8_secret_tokens, op9_bestfit_bounds)}
 
 
 def oracle_sql() -> dict[str, str]:
