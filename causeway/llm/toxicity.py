@@ -9,7 +9,7 @@ is dense. Terms are taken by their evidence against chance, one of those that be
 phrases do not count. The score is the logistic function of the weights' sum and the prior odds; the threshold is 0.3.
 
 Learning uses a bounded, hash-chosen sample of rows of each label; among sampled texts of one label that share their
-smallest word hash (copies and most near copies) one is kept, so that a document with many copies makes no words toxic.
+smallest hash of three words in a row (copies and most near copies) one is kept, so that a document with many copies makes no words toxic.
 
 Edge cases: null and empty texts have the prior score; with no labelled toxic rows the lexicon is empty and every
 score is 0; a row without doc_id is never learned from; contradicting labels of one id count as toxic; repeated rows
@@ -93,6 +93,12 @@ def terms_of(words: list[str]) -> list[tuple[str, int]]:
     return [(t, dense(n, len(words))) for t, n in out.items()]
 
 
+def mark(words: list[str]) -> int:
+    """The smallest hash of three words in a row (of all words, if there are fewer): copies share it, and most near copies."""
+    windows = set(zip(words, words[1:], words[2:], strict=False)) or {tuple(words)}
+    return min(xxhash.xxh3_64_intdigest(" ".join(w).encode("utf-8", "replace")) for w in windows) - 2**63
+
+
 class Lexicon(NamedTuple):
     weights: dict[str, tuple[float, ...]]  # by term, one for each bin
     prior: float  # log odds of toxic documents
@@ -108,7 +114,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> L
 
         table = Folding()
         for batch in batches:
-            marks = [min((xxhash.xxh3_64_intdigest(w.encode("utf-8", "replace")) for w in set(WORD.findall(fold(t, table)))), default=0) - 2**63 for t in batch["text"].to_pylist()]
+            marks = [mark(WORD.findall(fold(t, table))) for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["toxic"], pa.array(marks, pa.int64())], ["doc_id", "toxic", "mark"])
 
     def counts(batches: Iterator) -> Iterator:
