@@ -35,6 +35,7 @@ SAMPLE = 20_000  # most labelled rows of each label that are learned from
 MOST_TERMS = 5_000  # most terms of a lexicon
 PREFIXES = (4, 5, 6)  # lengths of beginnings of words
 LEAST_SUPPORT = 3
+MOST_PRIOR = math.log(1 / 9)  # log odds of a text without terms, at most
 LEAST_ODDS = 10.0  # of a term in a bin; below, the bin speaks for nothing
 PER_WORDS = 300
 BINS = (0.5, 1.5, 2.5, 4.0)  # upper ends; a last bin is open
@@ -101,12 +102,13 @@ def mark(words: list[str]) -> int:
 
 class Lexicon(NamedTuple):
     weights: dict[str, tuple[float, ...]]  # by term, one for each bin
-    prior: float  # log odds of toxic documents
+    prior: float  # log odds of toxic documents, and of a text without terms
 
 
 def learn_lexicon(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
     """Terms and weights. Term counts are made on the executors; counts of the terms that qualify reach the driver."""
     seen = labels.where(is_train_row(F.col("doc_id")) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    share_of = {r["toxic"]: r["n"] for r in seen.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     chosen = cut(bounded_ids(seen.where("toxic = 1"), "doc_id", sample).withColumn("toxic", F.lit(1)).unionByName(bounded_ids(seen.where("toxic = 0"), "doc_id", sample).withColumn("toxic", F.lit(0))))
 
     def signatures(batches: Iterator) -> Iterator:
@@ -169,7 +171,8 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> L
         near = lambda b, seen=seen: min(seen, key=lambda c: (abs(c - b), c)) if seen else None  # noqa: E731  bins without documents are as the next one
         full = [0.0 if near(b) is None else seen[near(b)] for b in range(len(BINS) + 1)]
         weights[term] = tuple(round(w if w >= math.log(LEAST_ODDS) else min(w, 0.0), 6) for w in full)
-    return Lexicon(weights, math.log(n1 / max(1, n0)))
+    # the odds of all labelled rows, not of the sample, whose labels are bounded each; a text without terms is never toxic
+    return Lexicon(weights, min(MOST_PRIOR, math.log(share_of[1] / max(1, share_of.get(0, 0)))))
 
 
 class Matcher:
