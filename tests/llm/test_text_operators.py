@@ -175,6 +175,7 @@ def test_toxicity(spark, docs):
     table, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
     lexicon = toxicity.learn_lexicon(table, labels)
     assert set(lexicon.weights) <= {"blarg", *(w[:n] + "*" for w in ("blarg", "nastix") for n in (4, 5, 6))} and len(lexicon.weights) == 2
+    assert lexicon.prior <= toxicity.MOST_PRIOR  # a text without terms is never toxic
     score = toxicity.Matcher(lexicon).score
     assert all((score(t) >= 0.3) == bool(m[2]) for (_, t), m in zip(rows, marks, strict=True))
     assert score("b1arg".replace("1", "l")) >= 0.3 and score("blаrg") >= 0.3 and score("bl4rg") >= 0.3 and score("xblarg") < 0.3
