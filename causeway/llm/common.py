@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
+import types
 
 import numpy as np
 import xxhash
@@ -82,6 +84,16 @@ def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
         return mixed(out)
 
 
+def kept_in_process(key: tuple, make):
+    """An object that a Python worker makes once and keeps for its later tasks (a tokenizer and what it remembers).
+
+    It hangs on a module of its own, as this module's names are made anew for each task. It must bound its memory."""
+    holder = sys.modules.setdefault("causeway_kept_in_process", types.ModuleType("causeway_kept_in_process")).__dict__
+    if key not in holder:
+        holder[key] = make()
+    return holder[key]
+
+
 def text_bytes(column) -> list[bytes | None]:
     """The UTF-8 bytes of an Arrow string column, without decoding them."""
     import pyarrow as pa

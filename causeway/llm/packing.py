@@ -16,12 +16,13 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm.common import cut, text_bytes, tokenizer_path
+from causeway.llm.common import cut, kept_in_process, text_bytes, tokenizer_path
 
 VOCABULARY = "word_bpe_49k.json"
 CAPACITY = 2048
@@ -31,38 +32,57 @@ ROUNDS = 3
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+class _Numbers(dict):
+    """Numbers new keys in the order in which they are asked for."""
+
+    def __missing__(self, key: bytes) -> int:
+        i = self[key] = len(self)
+        return i
+
+
 class ChunkIds:
-    """Token ids of texts by a tokenizer that drops white space: runs between ASCII white space are encoded once.
+    """Token ids of texts by a tokenizer that drops white space and case: runs between ASCII white space are encoded once.
 
-    White space ends every word of the vocabulary, so ids of a text are those of its runs, one after another."""
+    White space ends every word of the vocabulary, so ids of a text are those of its runs, one after another. So does
+    a comma or full stop after a letter; a run that ends in one has the ids of the rest and of the mark."""
 
-    def __init__(self, path: str, most: int = 300_000, most_bytes: int = 32 << 20):
+    def __init__(self, path: str, most: int = 500_000, most_bytes: int = 48 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.most_bytes = Tokenizer.from_file(path), most, most_bytes
+        self.marks = {m: self._encode([m])[0] for m in (b",", b".")}
         self.reset()
 
     def reset(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.size = 0
+        self.index, self.cores, self.size = _Numbers(), {}, 0
         self.flat, self.offsets = np.zeros(0, dtype=np.uint32), np.zeros(1, dtype=np.int64)
 
+    def _encode(self, runs: list[bytes]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch([r.decode("utf-8", "replace") for r in runs], add_special_tokens=False)]
+
+    def _learn(self, fresh: list[bytes]) -> None:
+        parts = []
+        for w in fresh:
+            self.size += len(w)
+            core = w if b"<|" in w else w.lower()  # special tokens are told by case
+            mark = core[-1:] if len(core) > 1 and core[-1:] in self.marks and core[-2:-1].isalpha() else b""
+            parts.append((core[:-1] if mark else core, mark))
+        todo = list({c for c, _ in parts if c not in self.cores})
+        self.cores.update(zip(todo, self._encode(todo), strict=True))
+        ids = [self.cores[c] + self.marks[m] if m else self.cores[c] for c, m in parts]
+        self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum([len(i) for i in ids])])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), dtype=np.uint32)])
+
     def __call__(self, texts: list[bytes | None]) -> list[np.ndarray]:
         if len(self.index) > self.most or self.size > self.most_bytes:
             self.reset()
-        index, at = self.index, []
+        known, at, number = len(self.offsets) - 1, [], self.index.__getitem__
         for text in texts:
             words = (text or b"").split()
-            for w in set(words):
-                if w not in index:
-                    index[w] = len(index)
-                    self.size += len(w)
-            at.append(np.fromiter(map(index.__getitem__, words), dtype=np.int64, count=len(words)))
-        if fresh := [w.decode("utf-8", "replace") for w in list(index)[len(self.offsets) - 1 :]]:
-            ids = [e.ids for e in self.tokenizer.encode_batch(fresh, add_special_tokens=False)]
-            self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum([len(i) for i in ids])])
-            self.flat = np.concatenate([self.flat, np.fromiter((x for i in ids for x in i), dtype=np.uint32)])
+            at.append(np.fromiter(map(number, words), dtype=np.int64, count=len(words)))
+        if len(self.index) > known:
+            self._learn(list(islice(self.index, known, None)))
         out = []
         for a in at:
             start, length = self.offsets[a], self.offsets[a + 1] - self.offsets[a]
@@ -79,7 +99,7 @@ def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPAC
     def cut_up(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        encode = ChunkIds(path)
+        encode = kept_in_process(("chunk ids", path), lambda: ChunkIds(path))
         for batch in batches:
             ids, texts = batch["doc_id"].to_pylist(), text_bytes(batch["text"])
             rows: list[tuple] = []
