@@ -20,20 +20,22 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm.common import tokenizer_path
+from causeway.llm.common import kept_in_process, tokenizer_path
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Fixed value: the pre-tokenization pattern that belongs to the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+BLANK = re.compile(r" (?=\S)")
 BATCH_CHARS = 4 << 20  # text that is encoded at once
 QUERY_BYTES = 1 << 19  # bytes of words in one query
-CACHE = 200_000  # words or runs that are remembered
+CACHE = 500_000  # words or runs that are remembered
 
 SHORT = 64  # bytes of a word whose pairs are contracted one at a time; longer ones take the query that does many
 CONTRACT = """
@@ -84,7 +86,7 @@ SELECT word, list(tok ORDER BY pos) AS ids FROM t WHERE NOT live GROUP BY word O
 DECODE = """
 SELECT doc, string_agg(v.chars, '' ORDER BY pos) AS chars, count(*) AS n
 FROM (SELECT doc, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM docs_ids) d JOIN vocabulary v USING (id)
-GROUP BY doc
+GROUP BY doc ORDER BY doc
 """
 
 
@@ -118,8 +120,10 @@ class Bpe:
         chars = ["".join(chr(256 + x) for x in t) for t in self.ranks]
         self._table("vocabulary", pa.table({"id": pa.array(list(self.ranks.values()), pa.int32()), "chars": chars}))
         self.byte_ids = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int32)
-        self.words: dict[str, np.ndarray] = {}
-        self.runs: dict[str, np.ndarray] = {}
+        # ids are kept as the bytes of little-endian unsigned 32-bit integers
+        self.words: dict[str, bytes] = {}
+        self.runs: dict[str, bytes] = {}
+        self.decoded: dict[bytes, bytes] = {}
 
     def _table(self, name: str, table) -> None:
         self.db.register("given", table)
@@ -135,7 +139,7 @@ class Bpe:
             if rank is None:
                 todo.append((w, raw))
             else:
-                self.words[w] = np.array([rank], dtype=np.uint32)
+                self.words[w] = rank.to_bytes(4, "little")
         for long in (False, True):
             self._run([x for x in todo if (len(x[1]) > SHORT) is long], CONTRACT_LONG if long else CONTRACT)
 
@@ -156,56 +160,63 @@ class Bpe:
             self.db.register("start", pa.table({"word": np.repeat(np.arange(len(some), dtype=np.int32), lengths), "pos": pos, "tok": tokens}))
             ids = self.db.sql(query).to_arrow_table()["ids"].combine_chunks()
             self.db.unregister("start")
-            flat, cuts = ids.values.to_numpy().astype(np.uint32), ids.offsets.to_numpy()
+            flat, cuts = ids.values.to_numpy().astype("<u4").tobytes(), (4 * ids.offsets.to_numpy().astype(np.int64)).tolist()
             for (w, _), lo, hi in zip(todo[at:end], cuts[:-1], cuts[1:], strict=True):
                 self.words[w] = flat[lo:hi]
             at = end
 
-    @staticmethod
-    def cut_runs(text: str) -> list[str]:
-        """text, cut before each blank that something other than white space follows."""
-        parts = text.split(" ")
-        runs, held = [], parts[0]
-        for p in parts[1:]:
-            if p and not p[0].isspace():
-                runs.append(held)
-                held = " " + p
-            else:
-                held += " " + p
-        runs.append(held)
-        return runs[1:] if not runs[0] else runs
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Ids of each text, as unsigned 32-bit integers."""
+    def encode_runs(self, texts: list[str | None]) -> list[list[bytes]]:
+        """Ids of each text, run by run."""
         if len(self.words) > CACHE:
             self.words.clear()
         if len(self.runs) > CACHE:
             self.runs.clear()
-        cuts = [self.cut_runs(t) if t else [] for t in texts]
-        fresh = list(dict.fromkeys(r for c in cuts for r in c if r not in self.runs))
-        split = [self.pattern.findall(r) for r in fresh]
-        self._contract(list(dict.fromkeys(w for s in split for w in s if w not in self.words)))
+        cuts = [BLANK.split(t) if t else [] for t in texts]
+        for c in cuts:
+            if c:
+                c[0] = (c[0],)  # the one run that no blank leads; others are kept without their blank
+        fresh = [r for r in set().union(*cuts) if r not in self.runs]
+        split = [self.pattern.findall(" " + r if isinstance(r, str) else r[0]) for r in fresh]
+        self._contract(list({w for s in split for w in s if w not in self.words}))
+        of = self.words.__getitem__
         for r, s in zip(fresh, split, strict=True):
-            self.runs[r] = self.words[s[0]] if len(s) == 1 else np.concatenate([self.words[w] for w in s])
-        none = np.zeros(0, dtype=np.uint32)
-        return [np.concatenate([self.runs[r] for r in c]) if c else none for c in cuts]
+            self.runs[r] = of(s[0]) if len(s) == 1 else b"".join(map(of, s))
+        return [list(map(self.runs.__getitem__, c)) for c in cuts]
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of each text, as unsigned 32-bit integers."""
+        return [np.frombuffer(b"".join(r), dtype="<u4") for r in self.encode_runs(texts)]
+
+    def decode_runs(self, runs: list[list[bytes]]) -> list[bytes]:
+        """The bytes of each list of runs of ids; a run is decoded once and remembered."""
+        if len(self.decoded) > CACHE:
+            self.decoded.clear()
+        fresh = [r for r in set().union(*runs) if r not in self.decoded]
+        self.decoded.update(zip(fresh, self._decode(np.frombuffer(b"".join(fresh), dtype="<u4"), [len(r) // 4 for r in fresh]), strict=True))
+        return [b"".join(map(self.decoded.__getitem__, r)) for r in runs]
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
         """The bytes of each list of ids."""
+        return self._decode(np.concatenate(ids) if ids else np.zeros(0, np.int32), [len(x) for x in ids])
+
+    def _decode(self, flat: np.ndarray, lengths: list[int]) -> list[bytes]:
         import pyarrow as pa
 
-        lengths = [len(x) for x in ids]
-        out = [b""] * len(ids)
-        flat = pa.array(np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32))
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), flat)
-        self.db.register("docs_ids", pa.table({"doc": np.arange(len(ids)), "ids": lists}))
-        for doc, chars, n in self.db.execute(DECODE).fetchall():
-            if n != lengths[doc]:
-                raise ValueError("an id is not in the vocabulary")
-            out[doc] = chars.encode("utf-16-le")[::2]
+        out = [b""] * len(lengths)
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(flat.astype(np.int32)))
+        self.db.register("docs_ids", pa.table({"doc": np.arange(len(lengths)), "ids": lists}))
+        found = self.db.sql(DECODE).to_arrow_table()
         self.db.unregister("docs_ids")
-        if any(n and not x for n, x in zip(lengths, out, strict=True)):
+        docs = found["doc"].to_numpy()
+        if not np.array_equal(np.flatnonzero(lengths), docs) or not np.array_equal(found["n"].to_numpy(), np.array(lengths)[docs]):
             raise ValueError("an id is not in the vocabulary")
+        # each byte is the character 256 above it: two bytes of UTF-8, the lower half of two bytes of UTF-16
+        chars = found["chars"].cast(pa.large_string()).combine_chunks() if len(docs) else pa.array([], pa.large_string())
+        cuts = np.frombuffer(chars.buffers()[1], dtype=np.int64, count=len(chars) + 1, offset=8 * chars.offset) if len(docs) else np.zeros(1, np.int64)
+        raw = chars.buffers()[2][int(cuts[0]) : int(cuts[-1])].to_pybytes().decode().encode("utf-16-le")[::2] if len(docs) else b""
+        at = ((cuts - cuts[0]) // 2).tolist()
+        for i, doc in enumerate(docs.tolist()):
+            out[doc] = raw[at[i] : at[i + 1]]
         return out
 
 
@@ -231,7 +242,7 @@ def encode_bpe(docs: DataFrame, path: str | None = None, pattern: str = PATTERN)
     def work(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        bpe = Bpe(path, pattern)
+        bpe = kept_in_process(("bpe", path, pattern), lambda: Bpe(path, pattern))
         for batch in small_batches(batches, "text", BATCH_CHARS):
             ids = [pa.array(x, pa.int64()) for x in bpe.encode(batch["text"].to_pylist())]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(ids, pa.list_(pa.int64()))], ["doc_id", "ids"])
@@ -246,7 +257,7 @@ def decode_bpe(tokens: DataFrame, path: str | None = None) -> DataFrame:
     def work(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        bpe = Bpe(path)
+        bpe = kept_in_process(("bpe", path, PATTERN), lambda: Bpe(path))
         for batch in small_batches(batches, "ids", BATCH_CHARS // 4):
             ids = [np.array(x if x is not None else [], dtype=np.int64) for x in batch["ids"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(bpe.decode(ids), pa.binary())], ["doc_id", "bytes"])
@@ -261,13 +272,13 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str = PATTERN)
     def work(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        bpe = Bpe(path, pattern)
+        bpe = kept_in_process(("bpe", path, pattern), lambda: Bpe(path, pattern))
         sha = lambda x: hashlib.sha256(x).hexdigest()
         for batch in small_batches(batches, "text", BATCH_CHARS):
-            ids = bpe.encode(batch["text"].to_pylist())
-            texts = bpe.decode(ids)
+            runs = bpe.encode_runs(batch["text"].to_pylist())
+            ids, texts = [b"".join(r) for r in runs], bpe.decode_runs(runs)
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array([len(x) for x in ids], pa.int64()), pa.array([sha(x.astype("<u4").tobytes()) for x in ids]), pa.array([sha(x) for x in texts])],
+                [batch["doc_id"], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([sha(x) for x in ids]), pa.array([sha(x) for x in texts])],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
