@@ -232,6 +232,18 @@ def test_secrets(spark, docs):
     assert secrets.scan_secrets(empty(docs)).count() == 0
 
 
+def test_secrets_after_a_sign(spark):
+    key, sig = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzQ8vTkWm3p", "8Fq2LmZ0vYt7RkPw3NsXbC9dGh1J"
+    texts = [f"AWS_SECRET_ACCESS_KEY={key}", f"SIGNING_KEY={key}== next", f"get https://a.example/file?sig={sig}&n=1", f"{sig}=value", "some_long_setting_name=another_long_setting_value"]
+    want = [[key], [f"{key}=="], [sig], [sig], []]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    for r in secrets.scan_secrets(df).collect():
+        assert [(s["kind"], texts[r["doc_id"]][s["start"] : s["end"]]) for s in r["found"]] == [("random", w) for w in want[r["doc_id"]]]
+    pipeline = pytest.importorskip("corpus_pipeline")
+    masked = {r["doc_id"]: r["text"] for r in dict(pipeline.STAGES)["secret_scans"](spark, df, "").collect()}
+    assert masked[0] == "AWS_SECRET_ACCESS_KEY=<random>" and not any(w in masked[i] for i, ws in enumerate(want) for w in ws)
+
+
 def test_packing(spark, docs):
     from tokenizers import Tokenizer
 
