@@ -3,7 +3,8 @@
 Text that people write takes few tokens for its characters; keys and tokens take many. Runs of key characters are
 encoded with a public byte-level vocabulary, and those with few characters per token are secrets, unless they are
 known digests (hexadecimal of the usual lengths, with or without an algorithm's name before them), UUIDs, or plain
-identifiers, numbers, words or web addresses.
+identifiers, numbers, words or web addresses. Runs of every length are tested, so embedded base64 data counts as
+random too. Where a fixed pattern covers only part of a run, the whole run is tested, and then what is left of it.
 
 Edge cases: null and empty texts have no spans (empty strings, the SHA-256 of nothing); texts of any length are
 scanned whole; every row is scanned by itself, so ties, repeated rows and other columns do not matter; an empty
@@ -24,7 +25,8 @@ from causeway.llm.common import tokenizer_path
 KINDS = ("assign", "access", "hex", "random")
 VOCABULARY = "byte_bpe_50k.tiktoken"
 CHARS_PER_TOKEN = 1.9  # below this a run counts as random
-LEAST, MOST = 20, 512  # characters of a run that is tested; longer runs are data (images, archives), not keys
+LEAST = 20  # characters of a run that is tested; there is no upper bound
+PIECE = 512  # characters that are encoded at once; tokens of the pieces of a longer run are summed
 
 ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE
@@ -63,11 +65,11 @@ def is_identifier(run: str) -> bool:
     if kinds < 2:
         return True  # one alphabet alone: a long word, a heading
     parts = [p for p in re.split(r"[_/=+-]+", run) if p]
-    return all(re.fullmatch(r"[a-z]+|[A-Z]+|[A-Z][a-z]+|\d+|(?:[A-Z]?[a-z]{2,})+\d{0,4}", p) for p in parts)
+    return all(re.fullmatch(r"[a-z]+|[A-Z]+|[A-Z][a-z]+|\d+|(?:[A-Z]?[a-z]{2,}+)++\d{0,4}", p) for p in parts)
 
 
 class TokenRatio:
-    """Characters per token of short runs, under a vocabulary of byte-level ranks."""
+    """Characters per token of runs, under a vocabulary of byte-level ranks."""
 
     def __init__(self, path: str):
         import tiktoken
@@ -77,18 +79,46 @@ class TokenRatio:
         self.encoding = tiktoken.Encoding("ratio", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, run: str) -> float:
-        return len(run) / max(1, len(self.encoding.encode_ordinary(run)))
+        tokens = sum(len(self.encoding.encode_ordinary(run[i : i + PIECE])) for i in range(0, len(run), PIECE))
+        return len(run) / max(1, tokens)
 
 
-def random_spans(text: str, ratio: TokenRatio, least: float, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int, float]]:
-    """(kind, start, end, characters per token) of random runs outside the spans that are taken."""
+def joined(spans: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """(start, end) of spans in order, overlapping ones as one."""
     out = []
+    for _, start, end in spans:
+        if out and start < out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((start, end))
+    return out
+
+
+def random_spans(text: str, ratio: TokenRatio, least: float, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int, float]]:
+    """(kind, start, end, characters per token) of random runs.
+
+    taken holds the fixed patterns' spans, in order. A run that they cover, or all but names in it, is left to them;
+    one that they cover in part is given whole if it is random, else what is left of it is tested part by part."""
+    out, covers, at = [], joined(taken), 0
     for m in RUN.finditer(text):
-        run = m[0]
-        if len(run) > MOST or is_identifier(run) or any(s < m.end() and m.start() < e for _, s, e in taken):
+        start, end = m.span()
+        if is_identifier(m[0]):
+            continue
+        while at < len(covers) and covers[at][1] <= start:
+            at += 1
+        left, near, begin = [], at, start
+        while near < len(covers) and covers[near][0] < end:
+            left.append((begin, covers[near][0]))
+            begin = covers[near][1]
+            near += 1
+        left = [(a, b) for a, b in [*left, (begin, end)] if a < b]
+        if near > at and all(is_identifier(text[a:b]) for a, b in left):
             continue
-        if (r := ratio(run)) < least:
-            out.append(("random", m.start(), m.end(), r))
+        if (r := ratio(m[0])) < least:
+            out.append(("random", start, end, r))
+        elif near > at:
+            parts = [(a, b, ratio(text[a:b])) for a, b in left if b - a >= LEAST and not is_identifier(text[a:b])]
+            out += [("random", a, b, r) for a, b, r in parts if r < least]
     return out
 
 
