@@ -300,6 +300,20 @@ def test_sharding(spark, docs):
     assert sharding.shard_documents(docs).count() == docs.count() and sharding.shard_documents(empty(docs)).count() == 0
 
 
+@pytest.mark.parametrize("sizes", [(2,), (3,), (2, 3)])
+def test_sharding_where_every_text_has_copies(spark, sizes):
+    rows = [f"text {g}" for g in range(1200) for _ in range(sizes[g % len(sizes)])]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = sharding.shard_documents(df).collect()
+    counts = Counter(r["shard"] for r in got)
+    assert len(got) == len({r["doc_id"] for r in got}) == len(rows) and max(counts.values()) - min(counts.values()) <= 1
+    places = {}
+    for r in got:
+        places.setdefault(rows[r["doc_id"]], set()).add(r["shard"])
+    # exact counts may cost one group for each shard, hardly more
+    assert sum(len(p) > 1 for p in places.values()) <= 2 * sharding.SHARDS
+
+
 def test_train_rows(spark):
     got = {r["i"]: r["t"] for r in spark.range(50).select(F.col("id").alias("i"), is_train_row(F.col("id")).alias("t")).collect()}
     assert all(t == (zlib.crc32(str(i).encode()) % 4 != 2) for i, t in got.items())
