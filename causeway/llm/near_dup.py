@@ -21,6 +21,7 @@ text are read, whatever other columns are called.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,12 +29,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm.common import U64, WordHashes, cut, mixed, text_bytes, window_hashes
+from causeway.llm.common import U64, WordHashes, cut, ensure_checkpoint_dir, mixed, text_bytes, window_hashes
 from causeway.llm.components import connected_components
 
 BANDS, ROWS = 32, 5
 PERCENT = 80
 BLOCK_DOCS, BLOCK_SHINGLES = 256, 400_000
+ROW = "__row"  # column of row numbers
 BROADCAST_ROWS = 1_000_000  # rows of (id, up to BANDS pairs of numbers) that are sent to every executor; beyond, a shuffle join
 
 
@@ -271,10 +273,29 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT, bands:
     return out.withColumn("kept", F.expr("if(component_id is null, true, coalesce(doc_id = component_id, false))"))
 
 
+def numbered_rows(docs: DataFrame) -> DataFrame:
+    """docs, written to the shared folder, with a number for each row in ROW: the same at every reading."""
+    spark = docs.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/rows-{uuid.uuid4().hex}"
+    docs.withColumn(ROW, F.monotonically_increasing_id()).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def keep_one_of_each(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> DataFrame:
-    """The documents that stay when each group of near duplicates keeps its smallest doc_id; all columns as they were."""
-    gone = cut(near_duplicates(docs, k, percent).where("not kept and doc_id is not null").select(F.col("doc_id").alias("__gone")).distinct())
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")
+    """The rows that stay when each group of near duplicates keeps one of its smallest doc_id; all columns as they were.
+
+    Rows are compared one by one, whatever their ids: of repeated rows one stays, a row without id stays only in a
+    group without ids, and rows of one id with different texts are documents of their own."""
+    rows = numbered_rows(docs)
+    found = near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text"), k, percent)
+    lesser = cut(found.where("not kept").select(F.col("doc_id").alias(ROW), "component_id"))
+    members = lesser.unionByName(lesser.select(F.col("component_id").alias(ROW), "component_id").distinct())
+    named = members.join(rows.select(ROW, F.col("doc_id").cast("long").alias("doc_id")), ROW)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", ROW)).alias("first")
+    stays = named.groupBy("component_id").agg(first).select(F.col(f"first.{ROW}").alias(ROW))
+    gone = cut(members.select(ROW).join(stays, ROW, "left_anti").select(F.col(ROW).alias("__gone")))
+    return rows.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, rows[ROW] == gone["__gone"], "left_anti").drop(ROW)
 
 
 def op2_minhash_fss(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,11 +2,12 @@
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame, all but the last
 with the columns of documents. Documents that quality rules or toxicity reject go; of each group of near duplicates
-(five words, similarity 0.8) the smallest doc_id stays; secrets are replaced by the name of their kind; what remains
+(five words, similarity 0.8) one row of the smallest doc_id stays; secrets are replaced by the name of their kind; what remains
 is packed into sequences. Labels are only learned from.
 
 Edge cases: an empty table passes through every stage; null texts fail the quality rules; null ids are never learned
-from, and stay unless they repeat a document with an id; columns beside doc_id and text are carried along as they are.
+from, and go where they repeat a document (one row stays of a group without any id); of repeated rows one stays;
+columns beside doc_id and text are carried along as they are.
 """
 
 from __future__ import annotations

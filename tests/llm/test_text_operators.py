@@ -103,6 +103,19 @@ def test_near_duplicates(spark, docs, monkeypatch):
     assert near_dup.near_duplicates(empty(docs)).count() == 0
 
 
+def test_near_dedup_stage_by_rows(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    near = " ".join([*prose(12).split()[:60], "changed", *prose(12).split()[61:]])
+    rows = [(1, prose(10)), (1, prose(10)), (1, prose(10)), (4, prose(11)), (5, prose(11)), (5, prose(13)), (None, prose(11)), (None, prose(12)), (None, near), (None, prose(14)), (8, prose(15)), (None, prose(15)), (9, None)]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = dict(pipeline.STAGES)["near_dedup"](spark, df, "")
+    assert got.columns == df.columns
+    out = Counter((r["doc_id"], r["text"]) for r in got.collect())
+    twins = [(None, t) for t in (prose(12), near) if out.pop((None, t), 0) == 1]
+    assert len(twins) == 1
+    assert out == Counter([(1, prose(10)), (4, prose(11)), (5, prose(13)), (None, prose(14)), (8, prose(15)), (9, None)])
+
+
 def test_sketch():
     x = np.unique(np.random.default_rng(0).integers(0, 2**63, 40).astype(np.uint64))
     for part in (x[:1], x[:7], x):
