@@ -157,6 +157,20 @@ def test_pii(spark):
     assert pii.find_pii(df.where("false")).count() == 0
 
 
+def test_pii_ibans_before_words_and_lists_of_ssns(spark):
+    de = "DE89 3704 0044 0532 0130 00"
+    cases = [
+        (f"pay {de} BIC COBADEFF", "iban", [de]), (f"{de} 2 items", "iban", [de]), (f"BE12 {de}", "iban", [de]), (f"{de} GB82 WEST 1234 5698 7654 32 OK", "iban", [de, "GB82 WEST 1234 5698 7654 32"]),
+        (f"é日 {de.replace(' ', '')} X", "iban", [de.replace(" ", "")]), (f"{de}7", "iban", []), ("SSN 123-45-6789, 987-65-4321", "ssn", ["123-45-6789", "987-65-4321"]),
+        ("SSNs: Ann 123-45-6789, Bo 987-65-4321 and Cy 111-22-3333", "ssn", ["123-45-6789", "987-65-4321", "111-22-3333"]), ("123-45-6789 is the social security number", "ssn", ["123-45-6789"]),
+        ("part 123-45-6789, 987-65-4321", "ssn", []),
+    ]
+    df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "doc_id long, text string")
+    for r in pii.find_pii(df).collect():
+        text, kind, want = cases[r["doc_id"]]
+        assert [text[s["start"] : s["end"]] for s in r["found"] if s["kind"] == kind] == want
+
+
 def test_bpe_round_trip(spark, docs):
     import tiktoken
 
