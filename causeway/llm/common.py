@@ -6,6 +6,7 @@ import os
 import sys
 import tempfile
 import types
+from itertools import islice
 
 import numpy as np
 import xxhash
@@ -45,15 +46,17 @@ def parallelism(spark: SparkSession) -> int:
 
 
 class WordHashes(dict):
-    """bytes -> 64-bit hash, computed once for each word. Forgets everything at the given size, so memory is bounded."""
+    """bytes -> 64-bit hash, computed once for each word. Forgets everything at the given numbers of words and bytes of words."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 200_000, most_bytes: int = 8 << 20):
         super().__init__()
-        self.most = most
+        self.most, self.most_bytes, self.size = most, most_bytes, 0
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
+        self.size += len(word)
+        if len(self) >= self.most or self.size > self.most_bytes:
             self.clear()
+            self.size = len(word)
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
 
@@ -61,6 +64,73 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), dtype=U64, count=len(words))
 
 
+class _Numbers(dict):
+    """Numbers new keys in the order in which they are asked for."""
+
+    def __missing__(self, key) -> int:
+        i = self[key] = len(self)
+        return i
+
+
+def gathered(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The slices of flat that start and length name, one after another."""
+    ends = np.cumsum(length)
+    total = int(ends[-1]) if len(ends) else 0
+    return flat[np.repeat(start - (ends - length), length) + np.arange(total)]
+
+
+class _Generation:
+    def __init__(self):
+        self.index, self.size, self.notes = _Numbers(), 0, []
+        self.flat, self.offsets = np.zeros(0, dtype=np.uint32), np.zeros(1, dtype=np.int64)
+
+
+class TokenMemory:
+    """Token ids of strings (runs of text), each learned once and kept packed, not as objects.
+
+    learn takes a list of keys and returns their ids in one array, the number of ids of each, and a note for each key
+    (or None). Two generations are held: when the younger has more than most keys or most_bytes bytes of keys and ids it
+    becomes the older one, and what the older one alone held is forgotten. So what lasts from batch to batch is bounded
+    by about twice the two numbers, and the frequent keys stay."""
+
+    def __init__(self, learn, most: int = 150_000, most_bytes: int = 6 << 20):
+        self.learn, self.most, self.most_bytes = learn, most, most_bytes
+        self.young, self.old = _Generation(), _Generation()
+
+    def numbers(self, cuts: list[list]) -> list[np.ndarray]:
+        """The number of each key, list by list; they hold until the next call."""
+        if len(self.young.index) > self.most or self.young.size > self.most_bytes:
+            self.old, self.young = self.young, _Generation()
+        young = self.young
+        known, number = len(young.offsets) - 1, young.index.__getitem__
+        out = [np.fromiter(map(number, keys), dtype=np.int64, count=len(keys)) for keys in cuts]
+        if len(young.index) > known:
+            self._add(list(islice(young.index, known, None)))
+        return out
+
+    def _add(self, fresh: list) -> None:
+        young, old = self.young, self.old
+        at = [old.index.get(k, -1) for k in fresh]
+        flat, lengths, notes = self.learn([k for k, i in zip(fresh, at, strict=True) if i < 0])
+        at = np.array(at, dtype=np.int64)
+        new = at < 0
+        start, length = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        start[~new], length[~new] = old.offsets[at[~new]], old.offsets[at[~new] + 1] - old.offsets[at[~new]]
+        length[new] = lengths
+        start[new] = len(old.flat) + np.cumsum(lengths) - lengths
+        young.flat = np.concatenate([young.flat, gathered(np.concatenate([old.flat, flat.astype(np.uint32)]), start, length)])
+        young.offsets = np.concatenate([young.offsets, young.offsets[-1] + np.cumsum(length)])
+        if notes is not None:
+            new_notes = iter(notes)
+            young.notes += [next(new_notes) if i < 0 else old.notes[i] for i in at.tolist()]
+        young.size += sum(map(len, fresh)) + 4 * int(length.sum())
+
+    def ids(self, numbers: np.ndarray) -> np.ndarray:
+        """The ids of the keys of these numbers, one after another."""
+        offsets = self.young.offsets
+        return gathered(self.young.flat, offsets[numbers], offsets[numbers + 1] - offsets[numbers])
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values (multiply and shift)."""
     x = x ^ (x >> U64(30))
@@ -87,11 +157,14 @@ def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
 def kept_in_process(key: tuple, make):
     """An object that a Python worker makes once and keeps for its later tasks (a tokenizer and what it remembers).
 
-    It hangs on a module of its own, as this module's names are made anew for each task. It must bound its memory."""
+    It hangs on a module of its own, as this module's names are made anew for each task. Only the last one asked for is
+    kept, so that a stage's memory does not outlast it where the next stage keeps another. It must bound its own memory."""
     holder = sys.modules.setdefault("causeway_kept_in_process", types.ModuleType("causeway_kept_in_process")).__dict__
-    if key not in holder:
-        holder[key] = make()
-    return holder[key]
+    kept = holder.setdefault("kept", {})
+    if key not in kept:
+        kept.clear()
+        kept[key] = make()
+    return kept[key]
 
 
 def text_bytes(column) -> list[bytes | None]:

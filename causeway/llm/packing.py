@@ -16,80 +16,60 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
-from itertools import chain, islice
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm.common import cut, kept_in_process, text_bytes, tokenizer_path
+from causeway.llm.common import TokenMemory, cut, kept_in_process, text_bytes, tokenizer_path
 
 VOCABULARY = "word_bpe_49k.json"
 CAPACITY = 2048
 SEPARATOR = 0
 PART_PIECES = 30_000  # pieces that are packed in one task
 ROUNDS = 3
+ENCODED_AT_ONCE = 4096  # runs that the tokenizer is given at once; what it returns for a run is large
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-class _Numbers(dict):
-    """Numbers new keys in the order in which they are asked for."""
-
-    def __missing__(self, key: bytes) -> int:
-        i = self[key] = len(self)
-        return i
-
-
 class ChunkIds:
     """Token ids of texts by a tokenizer that drops white space and case: runs between ASCII white space are encoded once.
 
     White space ends every word of the vocabulary, so ids of a text are those of its runs, one after another. So does
-    a comma or full stop after a letter; a run that ends in one has the ids of the rest and of the mark."""
+    a comma or full stop after a letter; a run that ends in one has the ids of the rest and of the mark. Special tokens
+    are told by case, so only texts without their beginning are lower-cased as a whole."""
 
-    def __init__(self, path: str, most: int = 500_000, most_bytes: int = 48 << 20):
+    def __init__(self, path: str, most: int = 150_000, most_bytes: int = 6 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.most_bytes = Tokenizer.from_file(path), most, most_bytes
+        self.tokenizer = Tokenizer.from_file(path)
+        self.encode_batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         self.marks = {m: self._encode([m])[0] for m in (b",", b".")}
-        self.reset()
-
-    def reset(self) -> None:
-        self.index, self.cores, self.size = _Numbers(), {}, 0
-        self.flat, self.offsets = np.zeros(0, dtype=np.uint32), np.zeros(1, dtype=np.int64)
+        self.memory = TokenMemory(self._learn, most, most_bytes)
 
     def _encode(self, runs: list[bytes]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch([r.decode("utf-8", "replace") for r in runs], add_special_tokens=False)]
+        out: list[list[int]] = []
+        for at in range(0, len(runs), ENCODED_AT_ONCE):
+            some = [r.decode("utf-8", "replace") for r in runs[at : at + ENCODED_AT_ONCE]]
+            out += [e.ids for e in self.encode_batch(some, add_special_tokens=False)]
+        return out
 
-    def _learn(self, fresh: list[bytes]) -> None:
+    def _learn(self, fresh: list[bytes]) -> tuple[np.ndarray, np.ndarray, None]:
         parts = []
         for w in fresh:
-            self.size += len(w)
-            core = w if b"<|" in w else w.lower()  # special tokens are told by case
+            core = w if b"<|" in w else w.lower()
             mark = core[-1:] if len(core) > 1 and core[-1:] in self.marks and core[-2:-1].isalpha() else b""
             parts.append((core[:-1] if mark else core, mark))
-        todo = list({c for c, _ in parts if c not in self.cores})
-        self.cores.update(zip(todo, self._encode(todo), strict=True))
-        ids = [self.cores[c] + self.marks[m] if m else self.cores[c] for c, m in parts]
-        self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum([len(i) for i in ids])])
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), dtype=np.uint32)])
+        cores = list({c for c, _ in parts})
+        known = dict(zip(cores, self._encode(cores), strict=True))
+        ids = [known[c] + self.marks[m] if m else known[c] for c, m in parts]
+        return np.fromiter(chain.from_iterable(ids), dtype=np.uint32), np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)), None
 
     def __call__(self, texts: list[bytes | None]) -> list[np.ndarray]:
-        if len(self.index) > self.most or self.size > self.most_bytes:
-            self.reset()
-        known, at, number = len(self.offsets) - 1, [], self.index.__getitem__
-        for text in texts:
-            words = (text or b"").split()
-            at.append(np.fromiter(map(number, words), dtype=np.int64, count=len(words)))
-        if len(self.index) > known:
-            self._learn(list(islice(self.index, known, None)))
-        out = []
-        for a in at:
-            start, length = self.offsets[a], self.offsets[a + 1] - self.offsets[a]
-            ends = np.cumsum(length)
-            total = int(ends[-1]) if len(ends) else 0
-            out.append(self.flat[np.repeat(start - (ends - length), length) + np.arange(total)])
-        return out
+        cuts = [(t if b"<|" in t else t.lower()).split() if t else [] for t in texts]
+        return [self.memory.ids(n) for n in self.memory.numbers(cuts)]
 
 
 def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, separator: int = SEPARATOR) -> DataFrame:
