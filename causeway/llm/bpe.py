@@ -27,15 +27,17 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm.common import kept_in_process, tokenizer_path
+from causeway.llm.common import TokenMemory, kept_in_process, tokenizer_path
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Fixed value: the pre-tokenization pattern that belongs to the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BLANK = re.compile(r" (?=\S)")
+LOOSE = re.compile(r" (?!\S)")
 BATCH_CHARS = 4 << 20  # text that is encoded at once
 QUERY_BYTES = 1 << 19  # bytes of words in one query
-CACHE = 500_000  # words or runs that are remembered
+CACHE = 250_000  # words, and runs, of one of two generations that are remembered
+CACHE_BYTES = 10 << 20  # bytes of runs and their ids in one generation
 
 SHORT = 64  # bytes of a word whose pairs are contracted one at a time; longer ones take the query that does many
 CONTRACT = """
@@ -98,14 +100,14 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Bpe:
     """Encoder and decoder over one in-memory DuckDB connection."""
 
-    def __init__(self, path: str, pattern: str = PATTERN):
+    def __init__(self, path: str, pattern: str = PATTERN, decoding: bool = False):
         import duckdb
         import pyarrow as pa
         import regex
 
         self.ranks = read_ranks(path)
         self.pattern = regex.compile(pattern)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "500MB", "preserve_insertion_order": False})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "500MB", "temp_directory": "", "preserve_insertion_order": False})
         merges = []
         for token, rank in self.ranks.items():
             for i in range(1, len(token)):
@@ -120,10 +122,9 @@ class Bpe:
         chars = ["".join(chr(256 + x) for x in t) for t in self.ranks]
         self._table("vocabulary", pa.table({"id": pa.array(list(self.ranks.values()), pa.int32()), "chars": chars}))
         self.byte_ids = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int32)
-        # ids are kept as the bytes of little-endian unsigned 32-bit integers
-        self.words: dict[str, bytes] = {}
-        self.runs: dict[str, bytes] = {}
-        self.decoded: dict[bytes, bytes] = {}
+        self.words, self.older_words = {}, {}  # ids of words, as the bytes of little-endian unsigned 32-bit integers
+        self.memory = TokenMemory(self._learn, CACHE, CACHE_BYTES)  # ids of runs, and with decoding their bytes
+        self.decoding = decoding
 
     def _table(self, name: str, table) -> None:
         self.db.register("given", table)
@@ -165,35 +166,44 @@ class Bpe:
                 self.words[w] = flat[lo:hi]
             at = end
 
-    def encode_runs(self, texts: list[str | None]) -> list[list[bytes]]:
-        """Ids of each text, run by run."""
+    def _learn(self, fresh: list[str | tuple[str]]) -> tuple[np.ndarray, np.ndarray, list[bytes] | None]:
+        """Ids of runs; where it is wanted, also the bytes that those ids decode to."""
         if len(self.words) > CACHE:
-            self.words.clear()
-        if len(self.runs) > CACHE:
-            self.runs.clear()
-        cuts = [BLANK.split(t) if t else [] for t in texts]
-        for c in cuts:
+            self.words, self.older_words = {}, self.words
+        find = self.pattern.findall
+        split = [find(" " + r if isinstance(r, str) else r[0]) for r in fresh]
+        todo = []
+        for w in {w for s in split for w in s}:
+            if w not in self.words:
+                if w in self.older_words:
+                    self.words[w] = self.older_words[w]
+                else:
+                    todo.append(w)
+        self._contract(todo)
+        of = self.words.__getitem__
+        ids = [of(s[0]) if len(s) == 1 else b"".join(map(of, s)) for s in split]
+        flat, lengths = np.frombuffer(b"".join(ids), dtype="<u4"), np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        return flat, lengths, self._decode(flat, lengths.tolist()) if self.decoding else None
+
+    def numbers(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Each text as numbers of runs in the memory."""
+        cuts: list[list] = []
+        for t in texts:
+            # a plain split does the same where no blank stands before white space or the end
+            c = [] if not t else BLANK.split(t) if LOOSE.search(t) else t.split(" ")
             if c:
                 c[0] = (c[0],)  # the one run that no blank leads; others are kept without their blank
-        fresh = [r for r in set().union(*cuts) if r not in self.runs]
-        split = [self.pattern.findall(" " + r if isinstance(r, str) else r[0]) for r in fresh]
-        self._contract(list({w for s in split for w in s if w not in self.words}))
-        of = self.words.__getitem__
-        for r, s in zip(fresh, split, strict=True):
-            self.runs[r] = of(s[0]) if len(s) == 1 else b"".join(map(of, s))
-        return [list(map(self.runs.__getitem__, c)) for c in cuts]
+            cuts.append(c)
+        return self.memory.numbers(cuts)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text, as unsigned 32-bit integers."""
-        return [np.frombuffer(b"".join(r), dtype="<u4") for r in self.encode_runs(texts)]
+        return [self.memory.ids(n) for n in self.numbers(texts)]
 
-    def decode_runs(self, runs: list[list[bytes]]) -> list[bytes]:
-        """The bytes of each list of runs of ids; a run is decoded once and remembered."""
-        if len(self.decoded) > CACHE:
-            self.decoded.clear()
-        fresh = [r for r in set().union(*runs) if r not in self.decoded]
-        self.decoded.update(zip(fresh, self._decode(np.frombuffer(b"".join(fresh), dtype="<u4"), [len(r) // 4 for r in fresh]), strict=True))
-        return [b"".join(map(self.decoded.__getitem__, r)) for r in runs]
+    def encode_and_decode(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, bytes]]:
+        """Ids of each text and the bytes that they decode to; the ids of a run are decoded once and remembered."""
+        for n in self.numbers(texts):
+            yield self.memory.ids(n), b"".join(map(self.memory.young.notes.__getitem__, n.tolist()))
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
         """The bytes of each list of ids."""
@@ -272,13 +282,15 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str = PATTERN)
     def work(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        bpe = kept_in_process(("bpe", path, pattern), lambda: Bpe(path, pattern))
-        sha = lambda x: hashlib.sha256(x).hexdigest()
+        bpe = kept_in_process(("bpe both ways", path, pattern), lambda: Bpe(path, pattern, decoding=True))
         for batch in small_batches(batches, "text", BATCH_CHARS):
-            runs = bpe.encode_runs(batch["text"].to_pylist())
-            ids, texts = [b"".join(r) for r in runs], bpe.decode_runs(runs)
+            n, digests, decoded = [], [], []
+            for ids, raw in bpe.encode_and_decode(batch["text"].to_pylist()):
+                n.append(len(ids))
+                digests.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
+                decoded.append(hashlib.sha256(raw).hexdigest())
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([sha(x) for x in ids]), pa.array([sha(x) for x in texts])],
+                [batch["doc_id"], pa.array(n, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
