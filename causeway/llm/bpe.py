@@ -2,10 +2,12 @@
 
 The vocabulary's pattern cuts texts into words. Each distinct word of a batch becomes rows of token and position,
 beginning with its single bytes. A recursive query joins neighbouring tokens with the merge table and contracts, in
-every word at once, the leftmost pair of the least rank; a word without a pair in the table is done. For long words,
-where the merged token is never part of a merge of a lower rank, all other places of that pair in the word would
-follow one after another, left to right, so they are contracted in the same step (a run of one letter then takes
-logarithmically many steps). Words that are in the vocabulary as they are need no query, as in the tiktoken library. Decoding joins ids
+every word at once, the leftmost pair of the least rank; a word without a pair in the table is done. In long words,
+pairs whose order cannot matter are contracted in the same step: all other places of the least pair, where the merged
+token is never part of a merge of a lower rank (they would follow one after another from left to right, so a run of one
+letter takes logarithmically many steps), and each pair of a lower rank than every merge of one of its two tokens, or of
+what they become, with any token that ends in the byte before or begins with the byte behind (nothing can come before it
+or be brought forward by it, so an irregular word takes few steps). Words that are in the vocabulary as they are need no query, as in the tiktoken library. Decoding joins ids
 with the vocabulary and aggregates the bytes in order of position.
 
 Runs between single blanks that stand before something else than white space are cut once and remembered, since the
@@ -61,23 +63,32 @@ SELECT word, list(tok ORDER BY pos) AS ids FROM t WHERE NOT live GROUP BY word O
 """
 
 CONTRACT_LONG = """
-WITH RECURSIVE t(word, pos, tok, live) AS (
-    SELECT word, pos, tok, true FROM start
+WITH RECURSIVE t(word, pos, tok, head, tail, live) AS (
+    SELECT word, pos, tok, tok, tok, true FROM start
   UNION ALL
-    SELECT word, (row_number() OVER (PARTITION BY word ORDER BY pos))::INT, CASE WHEN here THEN best ELSE tok END, best IS NOT NULL
+    SELECT word, (row_number() OVER (PARTITION BY word ORDER BY pos))::INT, CASE WHEN here THEN rank ELSE tok END, head,
+           CASE WHEN here THEN next_tail ELSE tail END, best IS NOT NULL
     FROM (
         SELECT *, coalesce(lag(here) OVER (PARTITION BY word ORDER BY pos), false) AS eaten
         FROM (
-            SELECT *, coalesce(hit AND CASE WHEN calm THEN (pos - min(pos) OVER (PARTITION BY word, island)) % 2 = 0
+            SELECT *, safe OR coalesce(hit AND CASE WHEN calm THEN (pos - min(pos) OVER (PARTITION BY word, island)) % 2 = 0
                                    ELSE pos = min(CASE WHEN hit THEN pos END) OVER (PARTITION BY word) END, false) AS here
             FROM (
-                SELECT q.*, coalesce(q.rank = q.best, false) AS hit, c.calm,
-                       pos - row_number() OVER (PARTITION BY word, coalesce(q.rank = q.best, false) ORDER BY pos) + CASE WHEN coalesce(q.rank = q.best, false) THEN 0 ELSE 1000000000 END AS island
+                SELECT *, coalesce(rank = best, false) AS hit,
+                       pos - row_number() OVER (PARTITION BY word, coalesce(rank = best, false) ORDER BY pos) + CASE WHEN coalesce(rank = best, false) THEN 0 ELSE 1000000000 END AS island
                 FROM (
-                    SELECT p.word, p.pos, p.tok, m.rank, min(m.rank) OVER (PARTITION BY p.word) AS best
-                    FROM (SELECT word, pos, tok, lead(tok) OVER (PARTITION BY word ORDER BY pos) AS nxt FROM t WHERE live) p
+                    SELECT p.*, m.rank, m.calm, min(m.rank) OVER (PARTITION BY p.word) AS best,
+                           coalesce(m.rank < least(coalesce(l.rank, 2147483647), coalesce(f.rank, 2147483647), coalesce(lm.rank, 2147483647), coalesce(fm.rank, 2147483647)), false) AS safe
+                    FROM (
+                        SELECT word, pos, tok, head, tail, lead(tok) OVER w AS nxt, lead(tail) OVER w AS next_tail, lead(head, 2) OVER w AS after, lag(tail) OVER w AS before
+                        FROM t WHERE live WINDOW w AS (PARTITION BY word ORDER BY pos)
+                    ) p
                     LEFT JOIN merges m ON p.tok = m.a AND p.nxt = m.b
-                ) q LEFT JOIN calm c ON c.made = q.best
+                    LEFT JOIN before_token l ON p.before = l.side AND p.tok = l.tok
+                    LEFT JOIN after_token f ON p.after = f.side AND p.nxt = f.tok
+                    LEFT JOIN before_token lm ON p.before = lm.side AND m.rank = lm.tok
+                    LEFT JOIN after_token fm ON p.after = fm.side AND m.rank = fm.tok
+                )
             )
         )
     ) WHERE NOT eaten
@@ -116,12 +127,19 @@ class Bpe:
                     merges.append((a, b, rank))
         a, b, rank = (np.array(x, dtype=np.int32) for x in zip(*merges, strict=True))
         restless = set(a[rank < a].tolist()) | set(b[rank < b].tolist())  # they can begin a merge of a lower rank
-        made = np.unique(rank)
-        self._table("merges", pa.table({"a": a, "b": b, "rank": rank}))
-        self._table("calm", pa.table({"made": made, "calm": ~np.isin(made, list(restless))}))
+        self._table("merges", pa.table({"a": a, "b": b, "rank": rank, "calm": ~np.isin(rank, list(restless))}))
         chars = ["".join(chr(256 + x) for x in t) for t in self.ranks]
         self._table("vocabulary", pa.table({"id": pa.array(list(self.ranks.values()), pa.int32()), "chars": chars}))
         self.byte_ids = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int32)
+        # the least rank of a merge of a token with any token before it that ends in a byte, or behind it that begins with one
+        heads, tails = np.zeros((2, max(self.ranks.values()) + 1), dtype=np.int32)
+        for token, i in self.ranks.items():
+            heads[i], tails[i] = self.byte_ids[token[0]], self.byte_ids[token[-1]]
+        for name, side, tok in (("before_token", tails[a], b), ("after_token", heads[b], a)):
+            order = np.lexsort((rank, tok, side))
+            first = np.concatenate([[True], (np.diff(side[order]) != 0) | (np.diff(tok[order]) != 0)])
+            keep = order[first]
+            self._table(name, pa.table({"side": side[keep], "tok": tok[keep], "rank": rank[keep]}))
         self.words, self.older_words = {}, {}  # ids of words, as the bytes of little-endian unsigned 32-bit integers
         self.memory = TokenMemory(self._learn, CACHE, CACHE_BYTES)  # ids of runs, and with decoding their bytes
         self.decoding = decoding
