@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 tokenizers = pytest.importorskip("public_tokenizers")
 
 from causeway.llm import bpe, fingerprint, language, near_dup, packing, pii, quality, secrets, sharding, toxicity
-from causeway.llm.common import WordHashes, is_train_row
+from causeway.llm.common import TokenMemory, WordHashes, is_train_row
 from causeway.llm.components import connected_components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, kept string, component_id int"
@@ -358,3 +358,30 @@ def test_pipeline(spark, docs, labels, tmp_path):
         assert step.columns == plain.columns and step.count() <= before.count()
     out = pipeline.run(spark, str(tmp_path))
     assert {r["doc_id"] for r in out.collect()} == {r["doc_id"] for r in step.collect()}
+
+
+def test_long_irregular_words_and_bounded_memory():
+    import random
+
+    import tiktoken
+
+    path = tokenizers.path("byte_bpe_50k.tiktoken")
+    plain = tiktoken.Encoding("plain", pat_str=bpe.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    rng = random.Random(11)
+    word = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
+    alphabets = ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "ab", "etaoin", "éèüßñ", "漢字仮名交り文", "!?-=+/")
+    texts = [word(rng.randint(65, 300), a) for a in alphabets for _ in range(20)] + [word(2000, alphabets[0]), "a" * 700]
+    coder = bpe.Bpe(path, decoding=True)
+    for text, (ids, raw) in zip(texts, coder.encode_and_decode(texts), strict=True):
+        assert ids.tolist() == plain.encode_ordinary(text) and raw == text.encode()
+
+    def learn(keys):
+        return np.fromiter((len(k) for k in keys), dtype=np.uint32), np.ones(len(keys), dtype=np.int64), [k.upper() for k in keys]
+
+    memory = TokenMemory(learn, most=1000)
+    for at in range(0, 100_000, 500):
+        keys = ["often", *(f"{i:x}" for i in range(at, at + 500))]
+        (numbers,) = memory.numbers([keys])
+        assert memory.ids(numbers).tolist() == [len(k) for k in keys]
+        assert [memory.young.notes[n] for n in numbers] == [k.upper() for k in keys]
+        assert len(memory.young.index) + len(memory.old.index) <= 2 * 1000 + 2 * 501
