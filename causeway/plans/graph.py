@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+import tempfile
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from causeway.operators.results import edges as edge_rows
 
@@ -214,6 +216,19 @@ def separation_table(spark: SparkSession, g: CausalGraph, most: int = 2) -> Data
 
 
 def closure(edges: DataFrame) -> DataFrame:
-    """src, dst of all directed paths, by a recursive query over an edge table."""
-    edges.createOrReplaceTempView("__edges")
-    return edges.sparkSession.sql("WITH RECURSIVE c(src, dst, n) AS (SELECT src, dst, 1 FROM __edges UNION ALL SELECT c.src, e.dst, c.n + 1 FROM c JOIN __edges e ON c.dst = e.src WHERE c.n < 50) SELECT DISTINCT src, dst FROM c")
+    """src, dst of all directed paths of any length, also round cycles.
+
+    Known paths are joined end to end until there is no new one, so rounds are the logarithm of the longest path. Each
+    round's distinct pairs are written to the shared checkpoint folder, where the lineage ends."""
+    sc = edges.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        named = edges.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("a cluster must name a shared folder in spark.checkpoint.dir")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp"))
+    paths, known = edges.select("src", "dst").dropna().distinct().checkpoint(), -1
+    while (n := paths.count()) != known:
+        known = n
+        onward = paths.select(F.col("src").alias("dst"), F.col("dst").alias("to"))
+        paths = paths.union(paths.join(onward, "dst").select("src", F.col("to").alias("dst"))).distinct().checkpoint()
+    return paths

@@ -102,3 +102,13 @@ def test_names_and_roles():
         CausalQuery.of("None", "y")
     with pytest.raises(ValueError):
         q.check(["educ", "wage"])
+
+
+def test_closure_of_long_chains_and_cycles(spark):
+    from causeway.plans.graph import closure
+
+    chain = spark.createDataFrame([(f"n{i:03d}", f"n{i + 1:03d}") for i in range(80)], "src string, dst string")
+    assert closure(chain).count() == 81 * 80 // 2
+    ring = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("a", "b")], "src string, dst string")
+    assert sorted(map(tuple, closure(ring).collect())) == [(x, y) for x in "abc" for y in "abc"]
+    assert closure(ring.limit(0)).count() == 0
