@@ -20,17 +20,25 @@ def discovery_algorithm(latent: bool, family: str | None, n: int, p: int) -> str
     return "LiNGAM" if large else "CGNN"
 
 
+def covariates(query: CausalQuery, graph: CausalGraph, used: tuple[str, ...] = ()) -> tuple[str, ...]:
+    """Columns that an estimator with a design of its own adjusts for: those asked for, else all of the graph but the roles and what the treatment changes."""
+    roles = {query.treatment, query.outcome, query.time, query.group, query.running, *query.instruments, *query.mediators, *used}
+    if query.adjustment:
+        return tuple(c for c in query.adjustment if c not in roles)
+    return tuple(c for c in graph.observed() if c not in roles | graph.descendants(query.treatment))
+
+
 def plan(query: CausalQuery, graph: CausalGraph, n: int, rdd_ok: bool = False, did_ok: bool = False, strict_reference: bool = False) -> EffectPlan:
     """The first estimator whose conditions hold; the graph's sets that identify the effect go with it."""
     t, y = query.treatment, query.outcome
     if query.randomized:
         return EffectPlan("RCT", reason="randomized")
     if query.cutoff is not None and rdd_ok:
-        return EffectPlan("RDD", reason="cutoff")
+        return EffectPlan("RDD", adjustment=covariates(query, graph), reason="cutoff")
     if query.time is not None and did_ok:
-        return EffectPlan("DiD", reason="time")
+        return EffectPlan("DiD", adjustment=covariates(query, graph), reason="time")
     if z := list(query.instruments) or instruments(graph, t, y, "reference" if strict_reference else "graphical"):
-        return EffectPlan("IV", instruments=tuple(z), reason="instruments")
+        return EffectPlan("IV", instruments=tuple(z), adjustment=covariates(query, graph, tuple(z)), reason="instruments")
     if m := frontdoor_set(graph, t, y, strict_reference):
         return EffectPlan("Frontdoor Adjustment", mediators=tuple(m), reason="front door")
     adjust = None if query.latent else backdoor_set(graph, t, y)

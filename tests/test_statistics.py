@@ -1,3 +1,4 @@
+import pandas as pd
 import math
 
 import numpy as np
@@ -152,3 +153,21 @@ def test_stream_moments(spark, tmp_path):
     finally:
         q.stop()
     assert np.allclose(m.cross, moments(df, ["a", "b"]).cross)
+
+
+def test_planned_instruments_keep_covariates(spark):
+    from causeway.plans.engine import estimate
+    from causeway.plans.graph import CausalGraph
+    from causeway.plans.planner import plan
+    from causeway.roles import CausalQuery
+
+    rng = np.random.default_rng(3)
+    u, x = rng.normal(size=(2, 20_000))
+    z = x + rng.normal(size=20_000)
+    t = z + u + rng.normal(size=20_000)
+    y = 2 * t + 3 * x + 3 * u + rng.normal(size=20_000)
+    df = spark.createDataFrame(pd.DataFrame({"t": t, "y": y, "z": z, "x": x}))
+    query = CausalQuery("t", "y", instruments=("z",))
+    how = plan(query, CausalGraph.from_edges([("x", "z"), ("x", "y"), ("z", "t"), ("t", "y")]), 20_000)
+    assert how.method == "IV" and how.adjustment == ("x",)
+    assert abs(estimate(df, query, how).first()["estimate"] - 2) < 0.1
