@@ -24,6 +24,7 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -43,24 +44,24 @@ CACHE_BYTES = 10 << 20  # bytes of runs and their ids in one generation
 
 SHORT = 64  # bytes of a word whose pairs are contracted one at a time; longer ones take the query that does many
 CONTRACT = """
-WITH RECURSIVE t(word, pos, tok, live) AS (
-    SELECT word, pos, tok, true FROM start
+WITH RECURSIVE t(k, tok, live) AS (
+    SELECT k, tok, true FROM start
   UNION ALL
-    SELECT word, pos, tok, live
+    SELECT k, tok, live
     FROM (
         WITH r AS MATERIALIZED (
-            SELECT word, pos, tok, lead(tok) OVER w AS nxt, lag(pos) OVER w AS prev
-            FROM t WHERE live WINDOW w AS (PARTITION BY word ORDER BY pos)
+            SELECT k, tok, CASE WHEN lead(k) OVER w >> 16 = k >> 16 THEN lead(tok) OVER w END AS nxt, CASE WHEN lag(k) OVER w >> 16 = k >> 16 THEN lag(k) OVER w END AS prev
+            FROM t WHERE live WINDOW w AS (ORDER BY k)
         ), b AS (
-            SELECT word, min(m.rank::BIGINT * 65536 + pos) AS best FROM r JOIN merges m ON r.tok = m.a AND r.nxt = m.b GROUP BY word
+            SELECT k >> 16 AS word, min(m.rank::BIGINT * 65536 + (k & 65535)) AS best FROM r JOIN merges m ON r.tok::BIGINT * 65536 + r.nxt = m.pair GROUP BY ALL
         )
-        SELECT r.word, r.pos, CASE WHEN r.pos = b.best & 65535 THEN (b.best >> 16)::INT ELSE r.tok END AS tok, b.best IS NOT NULL AS live
-        FROM r LEFT JOIN b ON r.word = b.word
-        WHERE b.best IS NULL OR r.prev IS DISTINCT FROM (b.best & 65535)::INT
+        SELECT r.k, CASE WHEN r.k & 65535 = b.best & 65535 THEN (b.best >> 16)::INT ELSE r.tok END AS tok, b.best IS NOT NULL AS live
+        FROM r LEFT JOIN b ON r.k >> 16 = b.word
+        WHERE b.best IS NULL OR r.prev & 65535 IS DISTINCT FROM b.best & 65535
     )
 )
-SELECT word, list(tok ORDER BY pos) AS ids FROM t WHERE NOT live GROUP BY word ORDER BY word
-"""
+SELECT k >> 16 AS word, list(tok ORDER BY k) AS ids FROM t WHERE NOT live GROUP BY ALL ORDER BY word
+"""  # k: the word's number and the token's position in one number, so that one sort serves all words
 
 CONTRACT_LONG = """
 WITH RECURSIVE t(word, pos, tok, head, tail, live) AS (
@@ -127,7 +128,7 @@ class Bpe:
                     merges.append((a, b, rank))
         a, b, rank = (np.array(x, dtype=np.int32) for x in zip(*merges, strict=True))
         restless = set(a[rank < a].tolist()) | set(b[rank < b].tolist())  # they can begin a merge of a lower rank
-        self._table("merges", pa.table({"a": a, "b": b, "rank": rank, "calm": ~np.isin(rank, list(restless))}))
+        self._table("merges", pa.table({"a": a, "b": b, "pair": a.astype(np.int64) * 65536 + b, "rank": rank, "calm": ~np.isin(rank, list(restless))}))
         chars = ["".join(chr(256 + x) for x in t) for t in self.ranks]
         self._table("vocabulary", pa.table({"id": pa.array(list(self.ranks.values()), pa.int32()), "chars": chars}))
         self.byte_ids = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int32)
@@ -140,7 +141,7 @@ class Bpe:
             first = np.concatenate([[True], (np.diff(side[order]) != 0) | (np.diff(tok[order]) != 0)])
             keep = order[first]
             self._table(name, pa.table({"side": side[keep], "tok": tok[keep], "rank": rank[keep]}))
-        self.words, self.older_words = {}, {}  # ids of words, as the bytes of little-endian unsigned 32-bit integers
+        self.words = TokenMemory(self._contract, CACHE, CACHE_BYTES)  # ids of words, and with decoding their bytes
         self.memory = TokenMemory(self._learn, CACHE, CACHE_BYTES)  # ids of runs, and with decoding their bytes
         self.decoding = decoding
 
@@ -149,20 +150,24 @@ class Bpe:
         self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
         self.db.unregister("given")
 
-    def _contract(self, words: list[str]) -> None:
-        """Remember the ids of the words."""
-        todo: list[tuple[str, bytes]] = []
-        for w in words:
+    def _contract(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, list[bytes] | None]:
+        """Ids of words; where it is wanted, also the bytes that those ids decode to."""
+        out: list[bytes] = [b""] * len(words)  # little-endian unsigned 32-bit integers
+        short: list[tuple[int, bytes]] = []
+        long: list[tuple[int, bytes]] = []
+        for i, w in enumerate(words):
             raw = w.encode("utf-8", "replace")
             rank = self.ranks.get(raw)
-            if rank is None:
-                todo.append((w, raw))
+            if rank is not None:
+                out[i] = rank.to_bytes(4, "little")
             else:
-                self.words[w] = rank.to_bytes(4, "little")
-        for long in (False, True):
-            self._run([x for x in todo if (len(x[1]) > SHORT) is long], CONTRACT_LONG if long else CONTRACT)
+                (long if len(raw) > SHORT else short).append((i, raw))
+        self._run(short, CONTRACT, out)
+        self._run(long, CONTRACT_LONG, out)
+        flat, lengths = np.frombuffer(b"".join(out), dtype="<u4"), np.fromiter(map(len, out), dtype=np.int64, count=len(out)) // 4
+        return flat, lengths, self._decode(flat, lengths.tolist()) if self.decoding and words else [] if self.decoding else None
 
-    def _run(self, todo: list[tuple[str, bytes]], query: str) -> None:
+    def _run(self, todo: list[tuple[int, bytes]], query: str, out: list[bytes]) -> None:
         import pyarrow as pa
 
         at = 0
@@ -174,34 +179,47 @@ class Bpe:
             some = [raw for _, raw in todo[at:end]]
             lengths = np.array([len(x) for x in some])
             ends = np.cumsum(lengths)
-            tokens = self.byte_ids[np.frombuffer(b"".join(some), dtype=np.uint8)]
+            word = np.repeat(np.arange(len(some), dtype=np.int32), lengths)
             pos = (np.arange(size) - np.repeat(ends - lengths, lengths) + 1).astype(np.int32)
-            self.db.register("start", pa.table({"word": np.repeat(np.arange(len(some), dtype=np.int32), lengths), "pos": pos, "tok": tokens}))
+            place = {"k": word.astype(np.int64) << 16 | pos} if query is CONTRACT else {"word": word, "pos": pos}
+            self.db.register("start", pa.table(place | {"tok": self.byte_ids[np.frombuffer(b"".join(some), dtype=np.uint8)]}))
             ids = self.db.sql(query).to_arrow_table()["ids"].combine_chunks()
             self.db.unregister("start")
             flat, cuts = ids.values.to_numpy().astype("<u4").tobytes(), (4 * ids.offsets.to_numpy().astype(np.int64)).tolist()
-            for (w, _), lo, hi in zip(todo[at:end], cuts[:-1], cuts[1:], strict=True):
-                self.words[w] = flat[lo:hi]
+            for (i, _), lo, hi in zip(todo[at:end], cuts[:-1], cuts[1:], strict=True):
+                out[i] = flat[lo:hi]
             at = end
 
+    def _split(self, runs: list[str | tuple[str]]) -> tuple[list[str], np.ndarray]:
+        """The words of runs, one after another, and how many of them come before each run's beginning and the last one's end."""
+        find = self.pattern.findall
+        firsts = [i for i, r in enumerate(runs) if not isinstance(r, str)]
+        words: list[str] = []
+        for lo, hi in zip([0, *firsts], [*firsts, len(runs)], strict=True):  # a text's first run and runs with their blanks are a text again
+            if lo < hi:
+                head = " " + runs[lo] if isinstance(runs[lo], str) else runs[lo][0]
+                words += find(" ".join([head, *runs[lo + 1 : hi]]))
+        ends = np.cumsum(np.fromiter((len(r) + 1 if isinstance(r, str) else len(r[0]) for r in runs), dtype=np.int64, count=len(runs)))
+        word_ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)))
+        bounds = np.concatenate([[0], np.searchsorted(word_ends, ends, side="right")])
+        if len(runs) and np.array_equal(np.concatenate([[0], word_ends])[bounds[1:]], ends):
+            return words, bounds
+        split = [find(" " + r if isinstance(r, str) else r[0]) for r in runs]  # another pattern may leave characters out
+        return [w for s in split for w in s], np.concatenate([[0], np.cumsum(np.fromiter(map(len, split), dtype=np.int64, count=len(split)))])
+
     def _learn(self, fresh: list[str | tuple[str]]) -> tuple[np.ndarray, np.ndarray, list[bytes] | None]:
         """Ids of runs; where it is wanted, also the bytes that those ids decode to."""
-        if len(self.words) > CACHE:
-            self.words, self.older_words = {}, self.words
-        find = self.pattern.findall
-        split = [find(" " + r if isinstance(r, str) else r[0]) for r in fresh]
-        todo = []
-        for w in {w for s in split for w in s}:
-            if w not in self.words:
-                if w in self.older_words:
-                    self.words[w] = self.older_words[w]
-                else:
-                    todo.append(w)
-        self._contract(todo)
-        of = self.words.__getitem__
-        ids = [of(s[0]) if len(s) == 1 else b"".join(map(of, s)) for s in split]
-        flat, lengths = np.frombuffer(b"".join(ids), dtype="<u4"), np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
-        return flat, lengths, self._decode(flat, lengths.tolist()) if self.decoding else None
+        words, bounds = self._split(fresh)
+        numbers = self.words.numbers([words])[0]
+        offsets = self.words.young.offsets
+        edges = np.concatenate([[0], np.cumsum(offsets[numbers + 1] - offsets[numbers])])
+        notes = None
+        if self.decoding:
+            parts = [self.words.young.notes[i] for i in numbers.tolist()]
+            cuts = np.concatenate([[0], np.cumsum(np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)))])[bounds].tolist()
+            raw = b"".join(parts)
+            notes = [raw[lo:hi] for lo, hi in pairwise(cuts)]
+        return self.words.ids(numbers), np.diff(edges[bounds]), notes
 
     def numbers(self, texts: list[str | None]) -> list[np.ndarray]:
         """Each text as numbers of runs in the memory."""
