@@ -162,12 +162,12 @@ class Bpe:
                 out[i] = rank.to_bytes(4, "little")
             else:
                 (long if len(raw) > SHORT else short).append((i, raw))
-        self._run(short, CONTRACT, out)
-        self._run(long, CONTRACT_LONG, out)
+        self._run(short, False, out)
+        self._run(long, True, out)
         flat, lengths = np.frombuffer(b"".join(out), dtype="<u4"), np.fromiter(map(len, out), dtype=np.int64, count=len(out)) // 4
         return flat, lengths, self._decode(flat, lengths.tolist()) if self.decoding and words else [] if self.decoding else None
 
-    def _run(self, todo: list[tuple[int, bytes]], query: str, out: list[bytes]) -> None:
+    def _run(self, todo: list[tuple[int, bytes]], long: bool, out: list[bytes]) -> None:
         import pyarrow as pa
 
         at = 0
@@ -181,9 +181,9 @@ class Bpe:
             ends = np.cumsum(lengths)
             word = np.repeat(np.arange(len(some), dtype=np.int32), lengths)
             pos = (np.arange(size) - np.repeat(ends - lengths, lengths) + 1).astype(np.int32)
-            place = {"k": word.astype(np.int64) << 16 | pos} if query is CONTRACT else {"word": word, "pos": pos}
+            place = {"word": word, "pos": pos} if long else {"k": word.astype(np.int64) << 16 | pos}
             self.db.register("start", pa.table(place | {"tok": self.byte_ids[np.frombuffer(b"".join(some), dtype=np.uint8)]}))
-            ids = self.db.sql(query).to_arrow_table()["ids"].combine_chunks()
+            ids = self.db.sql(CONTRACT_LONG if long else CONTRACT).to_arrow_table()["ids"].combine_chunks()
             self.db.unregister("start")
             flat, cuts = ids.values.to_numpy().astype("<u4").tobytes(), (4 * ids.offsets.to_numpy().astype(np.int64)).tolist()
             for (i, _), lo, hi in zip(todo[at:end], cuts[:-1], cuts[1:], strict=True):
