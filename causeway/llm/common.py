@@ -154,19 +154,46 @@ def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
         return mixed(out)
 
 
+def _kept() -> dict:
+    """What this process keeps; it hangs on a module of its own, as this module's names are made anew for each task."""
+    return sys.modules.setdefault("causeway_kept_in_process", types.ModuleType("causeway_kept_in_process")).__dict__.setdefault("kept", {})
+
+
 def kept_in_process(key: tuple, make):
     """An object that a Python worker makes once and keeps for its later tasks (a tokenizer and what it remembers).
 
-    It hangs on a module of its own, as this module's names are made anew for each task. Only the last one asked for is
-    kept, so that a stage's memory does not outlast it where the next stage keeps another. It must bound its own memory."""
-    holder = sys.modules.setdefault("causeway_kept_in_process", types.ModuleType("causeway_kept_in_process")).__dict__
-    kept = holder.setdefault("kept", {})
+    Only the last one asked for is kept, so that a stage's memory does not outlast it where the next stage keeps another
+    or is lean. It must bound its own memory."""
+    kept = _kept()
     if key not in kept:
         kept.clear()
         kept[key] = make()
     return kept[key]
 
 
+def lean(work, keeps: bool = False):
+    """work, a function of batches for mapInArrow, as one that leaves no memory behind in the worker process.
+
+    Worker processes outlive their tasks. At the end, freed memory goes back to the system; at the beginning, unless work
+    keeps an object itself, what another stage kept is forgotten."""
+
+    def run(batches):
+        if not keeps:
+            _kept().clear()
+        try:
+            yield from work(batches)
+        finally:
+            import ctypes
+
+            import pyarrow as pa
+
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return run
+
+
 def text_bytes(column) -> list[bytes | None]:
     """The UTF-8 bytes of an Arrow string column, without decoding them."""
     import pyarrow as pa

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm.common import U64, WordHashes, cut, ensure_checkpoint_dir, mixed, text_bytes, window_hashes
+from causeway.llm.common import U64, WordHashes, cut, ensure_checkpoint_dir, lean, mixed, text_bytes, window_hashes
 from causeway.llm.components import connected_components
 
 BANDS, ROWS = 32, 5
@@ -91,7 +91,7 @@ def sketches(docs: DataFrame, k: int, bands: int = BANDS, rows: int = ROWS) -> D
                 ["doc_id", "n_shingles", "digest", "keys"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "doc_id long, n_shingles long, digest binary, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(work), "doc_id long, n_shingles long, digest binary, keys array<long>")
 
 
 def _intersections(sets: list[np.ndarray], others: list[np.ndarray], width: int = 4096) -> np.ndarray:
@@ -179,7 +179,7 @@ def _edges_in_blocks(docs: DataFrame, wanted: DataFrame, k: int, percent: int) -
         edges = _forest(ids, _linked(_within(sets), n, n, percent)) if len(ids) > 1 else []
         return pa.table({"src": pa.array([a for a, _ in edges], pa.int64()), "dst": pa.array([b for _, b in edges], pa.int64())})
 
-    dealt = _by_size(docs.select(F.col("doc_id").cast("long"), "text"), wanted).mapInArrow(deal, "hub long, block long, doc_id long, shingles binary")
+    dealt = _by_size(docs.select(F.col("doc_id").cast("long"), "text"), wanted).mapInArrow(lean(deal), "hub long, block long, doc_id long, shingles binary")
     return dealt.groupBy("hub", "block").applyInArrow(verify, "src long, dst long")
 
 
@@ -226,7 +226,7 @@ def _edges_across_blocks(docs: DataFrame, wanted: DataFrame, k: int, percent: in
         return pa.table({"src": pa.array([x for x, _ in edges], pa.int64()), "dst": pa.array([y for _, y in edges], pa.int64())})
 
     dealt = _by_size(docs.select(F.col("doc_id").cast("long"), "text"), wanted).mapInArrow(
-        deal, "hub long, i long, j long, left boolean, doc_id long, component long, shingles binary"
+        lean(deal), "hub long, i long, j long, left boolean, doc_id long, component long, shingles binary"
     )
     return dealt.groupBy("hub", "i", "j").applyInArrow(verify, "src long, dst long")
 

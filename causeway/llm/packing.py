@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm.common import TokenMemory, cut, kept_in_process, text_bytes, tokenizer_path
+from causeway.llm.common import TokenMemory, cut, kept_in_process, lean, text_bytes, tokenizer_path
 
 VOCABULARY = "word_bpe_49k.json"
 CAPACITY = 2048
@@ -100,7 +100,7 @@ def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPAC
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut_up, PIECE)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(cut_up, keeps=True), PIECE)
 
 
 def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:

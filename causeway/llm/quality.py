@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm.common import WordHashes, bounded_ids, is_train_row, text_bytes, window_hashes
+from causeway.llm.common import WordHashes, bounded_ids, is_train_row, lean, text_bytes, window_hashes
 
 BITS = 16  # buckets of the hashed n-grams: 2**BITS rows are the most that the driver sees
 TRUSTED = 20_000  # most labelled rows that form the target
@@ -101,7 +101,7 @@ def gram_counts(docs: DataFrame, trusted_ids: DataFrame, bits: int = BITS) -> Da
         at = np.flatnonzero(total[0])
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[0][at]), pa.array(total[1][at])], ["bucket", "raw", "target"])
 
-    partial = flagged.select("text", "trusted").mapInArrow(count, "bucket long, raw long, target long")
+    partial = flagged.select("text", "trusted").mapInArrow(lean(count), "bucket long, raw long, target long")
     return partial.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
@@ -142,7 +142,7 @@ def score_quality(docs: DataFrame, ratio: np.ndarray, threshold: float = THRESHO
             )
 
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, llr double, kept boolean"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(score, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(score), schema)
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, bits: int = BITS) -> DataFrame:
@@ -167,7 +167,7 @@ def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOL
                 mask.append(ok)
             yield batch.filter(pa.array(mask, pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(lean(keep), docs.schema)
 
 
 def op1_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:

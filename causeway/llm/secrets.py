@@ -20,7 +20,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm.common import tokenizer_path
+from causeway.llm.common import lean, tokenizer_path
 
 KINDS = ("assign", "access", "hex", "random")
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -146,7 +146,7 @@ def scan_secrets(docs: DataFrame, path: str | None = None, least: float = CHARS_
                 founds.append([as_row(s) for s in sorted([*base, *more], key=lambda s: (s[1], KINDS.index(s[0]), s[2]))])
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(bases, kind), pa.array(founds, kind)], ["doc_id", "base", "found"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scan, f"doc_id long, base {span}, found {span}")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(scan), f"doc_id long, base {span}, found {span}")
 
 
 def mask_secrets(docs: DataFrame, path: str | None = None, least: float = CHARS_PER_TOKEN) -> DataFrame:
@@ -180,7 +180,7 @@ def mask_secrets(docs: DataFrame, path: str | None = None, least: float = CHARS_
                 columns[i] = pa.array([None if t is None else len(t) for t in texts], batch.schema.field(i).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(mask, docs.schema)
+    return docs.mapInArrow(lean(mask), docs.schema)
 
 
 def op8_secret_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm.common import bounded_ids, cut, is_train_row
+from causeway.llm.common import bounded_ids, cut, is_train_row, lean
 
 SAMPLE = 20_000  # most labelled rows of each label that are learned from
 MOST_TERMS = 5_000  # most terms of a lexicon
@@ -141,13 +141,13 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> L
 
     texts = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), "text")
     rows = lambda ids: texts.join(F.broadcast(ids), "doc_id").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
-    marked = rows(chosen).mapInArrow(signatures, "doc_id long, toxic int, mark long")
+    marked = rows(chosen).mapInArrow(lean(signatures), "doc_id long, toxic int, mark long")
     distinct = cut(marked.groupBy("mark", "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "toxic"))  # 2 * sample ids at most
     of = {r["toxic"]: r["n"] for r in distinct.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = of.get(1, 0), of.get(0, 0)
     if not n1:
         return Lexicon({}, -math.inf)
-    partial = rows(distinct).mapInArrow(counts, "term string, bin int, toxic long, clean long")
+    partial = rows(distinct).mapInArrow(lean(counts), "term string, bin int, toxic long, clean long")
     summed = cut(partial.groupBy("term", "bin").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")))
     # evidence of a term: how far the share of toxic documents is above what it is over all, in nats, over its bins of high odds
     share = n1 / (n1 + n0)
@@ -232,7 +232,7 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, exceptions: tuple[str, ...
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([matcher.score(t) for t in batch["text"].to_pylist()], pa.float64())], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(work), "doc_id long, score double")
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, exceptions: tuple[str, ...] = EXCEPTIONS) -> DataFrame:
@@ -246,7 +246,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
         for batch in batches:
             yield batch.filter(pa.array([matcher.score(t) < threshold for t in batch["text"].to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(work, docs.schema)
+    return docs.mapInArrow(lean(work), docs.schema)
 
 
 def op5_lexicon_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
