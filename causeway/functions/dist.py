@@ -1,4 +1,4 @@
-"""Distribution functions of the normal, t, F and chi-square laws (pure Python, for driver-side p-values)."""
+"""Distribution functions of the normal, t, F and chi-square laws (pure Python, for driver-side p-values), and the normal one as SQL."""
 
 from __future__ import annotations
 
@@ -77,3 +77,24 @@ def two_sided_t(x: float, df: float) -> float:
 
 def two_sided_normal(x: float) -> float:
     return math.erfc(abs(x) / math.sqrt(2))
+
+
+#: Hart's rational approximation of the normal tail, from the highest power down (absolute error below 1e-15).
+TAIL_ABOVE = (0.0352624965998911, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376)
+TAIL_BELOW = (0.0883883476483184, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752)
+
+
+def normal_cdf_sql(z: str) -> str:
+    """The normal distribution function of an expression (best a column, as it is named often), in SQL that Spark and DuckDB read."""
+    number = lambda v: format(v, ".17e")  # noqa: E731  a double, not a decimal
+    x = f"abs({z})"
+
+    def horner(values: tuple[float, ...]) -> str:
+        out = number(values[0])
+        for v in values[1:]:
+            out = f"({out} * {x} + {number(v)})"
+        return out
+
+    fraction = f"({x} + 1e0 / ({x} + 2e0 / ({x} + 3e0 / ({x} + 4e0 / ({x} + 6.5e-1)))))"
+    tail = f"CASE WHEN {x} > 37e0 THEN 0e0 WHEN {x} < 7.07106781186547e0 THEN exp(-{z} * {z} / 2e0) * {horner(TAIL_ABOVE)} / {horner(TAIL_BELOW)} ELSE exp(-{z} * {z} / 2e0) / {fraction} / 2.506628274631e0 END"
+    return f"CASE WHEN {z} > 0e0 THEN 1e0 - ({tail}) ELSE ({tail}) END"

@@ -6,11 +6,12 @@ import math
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from causeway.functions.dist import chi2_cdf, f_cdf
-from causeway.operators.estimators import clean, dml_linear, hashed_fold, rdd_fit, two_stage
+from causeway.operators import ranks
+from causeway.operators.estimators import clean, dml_divisions, hashed_fold, rdd_fit, two_stage
 from causeway.operators.moments import Moments, as_double, complete, moments, regress
 from causeway.operators.results import diagnostic
 
@@ -55,12 +56,14 @@ def positivity(scored: DataFrame, eps: float = 0.05, share: float = 0.9) -> Data
 
 
 def lead_interactions(df: DataFrame, treatment: str, outcome: str, group: str, order: list[str], leads: int = 4, test: str = "parallel_trends") -> DataFrame:
-    """For each lead of the treatment within groups: the t statistic of its interaction with the group."""
-    keys = Window.partitionBy(F.col(f"`{group}`")).orderBy(*[F.col(f"`{c}`") for c in order])
-    # a group's rows are one window: groups must be panels of units, not large shares of the table
-    y, g = as_double(outcome).alias("y"), as_double(group).alias("g")
-    ahead = [F.coalesce(F.lead(as_double(treatment), k).over(keys), F.lit(0.0)).cast("int").cast("double").alias(f"l{k}") for k in range(1, leads + 1)]
-    wide = df.select(y, g, *ahead)
+    """For each lead of the treatment within groups: the t statistic of its interaction with the group.
+
+    Leads come from ranges of (group, order), so a group may hold any share of the rows."""
+    names = [f"__l{k}" for k in range(1, leads + 1)]
+    columns = list(dict.fromkeys([outcome, group, treatment, *order]))
+    rows = ranks.leads(df.select([F.col(f"`{c}`") for c in columns]), group, order, as_double(treatment), names)
+    ahead = [F.coalesce(F.col(n), F.lit(0.0)).cast("int").cast("double").alias(n[2:]) for n in names]
+    wide = rows.select(as_double(outcome).alias("y"), as_double(group).alias("g"), *ahead)
     wide = wide.select("*", *[(F.col(f"l{k}") * F.col("g")).alias(f"x{k}") for k in range(1, leads + 1)])
     m = moments(wide, ["y", "g", *[f"{a}{k}" for k in range(1, leads + 1) for a in "lx"]])
     rows = []
@@ -95,15 +98,20 @@ def rdd_diagnose(df: DataFrame, running: str, treatment: str, outcome: str, cuto
         v = as_double(c)
         cols += [side(a, v, f).alias(f"{k}{int(a)}_{i}") for a in (True, False) for k, f in (("m", F.avg), ("v", F.var_samp), ("n", F.count))]
     row = df.agg(*cols).first()
+    spark = df.sparkSession
+    if row["assigned"] is None or row["mt"] is None:
+        return diagnostic(spark, "sharpness", None, None, None, None, None, "no rows")
     jump = abs((row["t1"] or 0.0) - (row["t0"] or 0.0))
     most = max(row["b1"] or 0, row["b0"] or 0)
     bunch = abs((row["b1"] or 0) - (row["b0"] or 0)) / most if most else 0.0
-    spark = df.sparkSession
     rows = [diagnostic(spark, "sharpness", jump, None, None, None, jump >= sharp), diagnostic(spark, "assigned_minus_treated", abs(row["assigned"] - row["mt"]), None, None, None, None), diagnostic(spark, "bunching", bunch, None, None, None, bunch <= 0.2), diagnostic(spark, "rows_near_cutoff", row["near"], None, None, None, (row["near"] or 0) >= 50)]
     from causeway.functions.dist import two_sided_t
 
     for i, c in enumerate(names):
         n1, n0 = row[f"n1_{i}"], row[f"n0_{i}"]
+        if n1 < 2 or n0 < 2:
+            rows.append(diagnostic(spark, f"balance_{c}", None, None, None, None, None, "too few rows on a side"))
+            continue
         pooled = ((n1 - 1) * row[f"v1_{i}"] + (n0 - 1) * row[f"v0_{i}"]) / (n1 + n0 - 2)
         s = (row[f"m1_{i}"] - row[f"m0_{i}"]) / math.sqrt(pooled * (1 / n1 + 1 / n0)) if pooled > 0 else math.nan
         p = two_sided_t(s, n1 + n0 - 2)
@@ -112,7 +120,7 @@ def rdd_diagnose(df: DataFrame, running: str, treatment: str, outcome: str, cuto
 
 
 def rdd_ok(df: DataFrame, running: str, treatment: str, outcome: str, cutoff: float, covariates=()) -> bool:
-    return all(r["passed"] is not False for r in rdd_diagnose(df, running, treatment, outcome, cutoff, covariates).collect())
+    return all(r["passed"] is not False and r["error"] != "no rows" for r in rdd_diagnose(df, running, treatment, outcome, cutoff, covariates).collect())
 
 
 def iv_first_stage(df: DataFrame, treatment: str, exogenous, instruments) -> DataFrame:
@@ -169,12 +177,13 @@ def mediator_backdoor(df: DataFrame, mediators, covariates) -> DataFrame:
     return reduce(DataFrame.unionByName, rows)
 
 
-def dml_stability(df: DataFrame, treatment: str, outcome: str, covariates, folds: list[Column], k: int) -> DataFrame:
-    """Standard deviation of estimates over several divisions into folds."""
-    values = [dml_linear(df, treatment, outcome, covariates, f, k).first()["estimate"] for f in folds]
+def dml_stability(df: DataFrame, treatment: str, outcome: str, covariates, folds: list[Column], k: int | None = None) -> DataFrame:
+    """Standard deviation of estimates over several divisions into folds, all from the same three aggregates."""
+    folds = folds if k is None else [F.when(f.between(0, k - 1), f) for f in folds]
+    values = [v for v, _, _ in dml_divisions(df, treatment, outcome, covariates, folds)]
     mean = sum(values) / len(values)
     sd = math.sqrt(sum((v - mean) ** 2 for v in values) / len(values))
-    return diagnostic(df.sparkSession, "dml_stability", sd, None, None, None, sd < 0.1)
+    return diagnostic(df.sparkSession, "dml_stability", sd, None, None, None, sd < 0.1 if math.isfinite(sd) else None)
 
 
 def gcomp_rmse(df: DataFrame, outcome: str, covariates) -> DataFrame:

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from causeway.operators.moments import Fit, as_double, complete, moments, regress, scaled_inverse
+from causeway.operators.moments import Fit, Moments, as_double, complete, moments, regress, scaled_inverse
 from causeway.operators.results import estimate
 
 CLIP = 1e-3
@@ -210,28 +211,123 @@ def plr(rows: DataFrame, treatment: str, n_method: str = "DML") -> DataFrame:
     return estimate(rows.sparkSession, n_method, "ATE", treatment, theta, se, row["n"])
 
 
-def dml_linear(df: DataFrame, treatment: str, outcome: str, covariates, fold: Column, k: int) -> DataFrame:
-    """Double machine learning with linear nuisances: one moment matrix for each fold, the others' sum fits it."""
+@dataclass(frozen=True)
+class FoldSums:
+    """Counts, sums and sums of products by division and fold, of columns less a common shift."""
+
+    names: tuple[str, ...]
+    shift: np.ndarray
+    n: dict[tuple[int, int], int]
+    sums: dict[tuple[int, int], np.ndarray]
+    products: dict[tuple[int, int], np.ndarray]
+
+    def folds(self, division: int) -> list[int]:
+        return sorted(f for d, f in self.n if d == division)
+
+    def moments(self, division: int, folds: list[int]) -> Moments:
+        """Of the rows of some folds together."""
+        keys, p = [(division, f) for f in folds], len(self.names)
+        n = sum(self.n[k] for k in keys)
+        total, products = sum((self.sums[k] for k in keys), np.zeros(p)), sum((self.products[k] for k in keys), np.zeros((p, p)))
+        mean = total / n if n else np.zeros(p)
+        return Moments(self.names, n, float(n), mean + self.shift, products - n * np.outer(mean, mean))
+
+    def without(self, division: int, fold: int) -> Moments:
+        """Of the rows outside one fold: what models for that fold are fitted on."""
+        return self.moments(division, [f for f in self.folds(division) if f != fold])
+
+
+def by_division(rows: DataFrame, folds: list[str]) -> DataFrame:
+    """Each row once for every division in which it has a fold, with division and fold."""
+    each = F.array(*[F.struct(F.lit(d).alias("division"), F.col(f).cast("int").alias("fold")) for d, f in enumerate(folds)])
+    return rows.withColumn("__at", F.explode(each)).select(*[F.col(f"`{c}`") for c in rows.columns if c not in folds], "__at.division", "__at.fold").where("fold is not null")
+
+
+def fold_sums(rows: DataFrame, columns: list[str], folds: list[str]) -> FoldSums:
+    """Two aggregates for any number of folds and divisions: means, by which the columns are shifted, then sums by fold.
+
+    rows are complete; folds are columns of fold numbers, one for each division."""
+    x = [F.col(f"`{c}`") for c in columns]
+    first = rows.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(x)]).first()
+    shift = np.array([first[f"m{i}"] or 0.0 for i in range(len(x))])
+    moved = by_division(rows, folds).select("division", "fold", *[(c - float(m)).alias(f"x{i}") for i, (c, m) in enumerate(zip(x, shift, strict=True))])
+    p = len(x)
+    pairs = [(i, j) for i in range(p) for j in range(i, p)]
+    sums = [F.sum(f"x{i}").alias(f"s{i}") for i in range(p)] + [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"c{i}_{j}") for i, j in pairs]
+    n, total, products = {}, {}, {}
+    for r in moved.groupBy("division", "fold").agg(F.count("*").alias("n"), *sums).collect():  # one row for each fold of each division
+        key = r["division"], r["fold"]
+        n[key], total[key], products[key] = r["n"], np.array([r[f"s{i}"] for i in range(p)]), np.zeros((p, p))
+        for i, j in pairs:
+            products[key][i, j] = products[key][j, i] = r[f"c{i}_{j}"]
+    return FoldSums(tuple(columns), shift, n, total, products)
+
+
+def dml_divisions(df: DataFrame, treatment: str, outcome: str, covariates, folds: list[Column]) -> list[tuple[float, float, int]]:
+    """(estimate, standard error, rows) of double machine learning with linear nuisances, for each division into folds.
+
+    Three jobs whatever the number of folds and divisions: column means; sums of products by fold, from which the
+    models for a fold come as all other folds' sums, and the estimate from each fold's own sums with those models; and the
+    residuals' fourth moments for the standard error."""
     x = clean(covariates, treatment, outcome)
-    rows = complete(df.withColumn("__fold", fold), [outcome, treatment, *x], "__fold")
-    parts = []
-    for f in range(k):
-        m = moments(rows.where(F.col("__fold") != f), [outcome, treatment, *x])
-        ly, lt = regress(m, outcome, x), regress(m, treatment, x)
-        parts.append(rows.where(F.col("__fold") == f).select((F.col(f"`{outcome}`") - ly.predicted()).alias("u"), (F.col(f"`{treatment}`") - lt.predicted()).alias("v")))
-    return plr(reduce(DataFrame.unionByName, parts), treatment)
+    columns, names = [outcome, treatment, *x], [f"__fold{d}" for d in range(len(folds))]
+    rows = complete(df.select("*", *[f.cast("int").alias(n) for f, n in zip(folds, names, strict=True)]), columns, *names)
+    s = fold_sums(rows, columns, names)
+    theta, models = [], []
+    for d in range(len(folds)):
+        uv = vv = 0.0
+        for f in s.folds(d):
+            rest, own = s.without(d, f), s.moments(d, [f])
+            if not rest.n:
+                vv = math.nan  # one fold alone leaves nothing to fit on
+                continue
+            ly, lt = regress(rest, outcome, x), regress(rest, treatment, x)
+            # residuals are linear in the columns, so their products are quadratic forms in the fold's own sums
+            bu, bv = np.array([1.0, 0.0, *-ly.coef]), np.array([0.0, 1.0, *-lt.coef])
+            au, av = float(bu @ own.means) - ly.intercept, float(bv @ own.means) - lt.intercept
+            uv += float(bu @ own.cross @ bv) + own.n * au * av
+            vv += float(bv @ own.cross @ bv) + own.n * av * av
+            models.append((d, f, float(-ly.intercept), float(-lt.intercept), *map(float, -ly.coef), *map(float, -lt.coef)))
+        theta.append(uv / vv if vv > 0 else math.nan)
+    if not models:
+        return [(math.nan, math.nan, 0)] * len(folds)
+    fields = ["division int", "fold int", "u0 double", "v0 double", *[f"u_{i} double" for i in range(len(x))], *[f"v_{i} double" for i in range(len(x))]]
+    fitted = df.sparkSession.createDataFrame(models, ", ".join(fields))  # one row for each fold of each division
+    joined = by_division(rows, names).join(F.broadcast(fitted), ["division", "fold"])
+    residual = lambda y, k: reduce(lambda a, i: a + F.col(f"`{x[i]}`") * F.col(f"{k}_{i}"), range(len(x)), F.col(f"`{y}`") + F.col(f"{k}0"))
+    th = F.get(F.array(*[F.lit(float(t)) for t in theta]), F.col("division"))
+    both = joined.select("division", residual(outcome, "u").alias("u"), residual(treatment, "v").alias("v"), th.alias("theta"))
+    psi = F.col("v") * (F.col("u") - F.col("theta") * F.col("v"))
+    got = {r["division"]: r for r in both.groupBy("division").agg(F.avg(psi * psi).alias("a"), F.avg(F.col("v") * F.col("v")).alias("b"), F.count("*").alias("n")).collect()}  # one row for each division
+    se = lambda r: math.sqrt(r["a"] / r["b"] ** 2 / r["n"]) if r["b"] else math.nan
+    return [(t, se(got[d]), got[d]["n"]) if d in got and math.isfinite(t) else (math.nan, math.nan, 0) for d, t in enumerate(theta)]
+
+
+def dml_linear(df: DataFrame, treatment: str, outcome: str, covariates, fold: Column, k: int | None = None) -> DataFrame:
+    """Double machine learning with linear nuisances, each fitted outside the fold that it predicts. Rows whose fold is not in 0 to k - 1 are left out."""
+    fold = fold if k is None else F.when(fold.between(0, k - 1), fold)
+    value, se, n = dml_divisions(df, treatment, outcome, covariates, [fold])[0]
+    return estimate(df.sparkSession, "DML", "ATE", treatment, value, se, n)
 
 
 def dml_forest(df: DataFrame, treatment: str, outcome: str, covariates, key: list[str], k: int, trees: int = 100, seed: int = 42) -> DataFrame:
     """Double machine learning with a random forest for the outcome and a logistic model for a binary treatment."""
-    from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-    from pyspark.ml.regression import RandomForestRegressor
 
     x = clean(covariates, treatment, outcome)
     rows = complete(df.withColumn("__fold", hashed_fold(key, k, seed)), [outcome, treatment, *x], "__fold")
     data = VectorAssembler(inputCols=x, outputCol="__f").transform(rows).persist()
+    try:
+        return plr(_forest_residuals(data, treatment, outcome, k, trees, seed), treatment)
+    finally:
+        data.unpersist()
+
+
+def _forest_residuals(data: DataFrame, treatment: str, outcome: str, k: int, trees: int, seed: int) -> DataFrame:
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.regression import RandomForestRegressor
+
     parts = []
     for f in range(k):
         train, test = data.where(F.col("__fold") != f), data.where(F.col("__fold") == f)
@@ -239,7 +335,7 @@ def dml_forest(df: DataFrame, treatment: str, outcome: str, covariates, key: lis
         share = LogisticRegression(featuresCol="__f", labelCol=treatment, probabilityCol="__prob", rawPredictionCol="__r", predictionCol="__h").fit(train)
         scored = share.transform(forest.transform(test))
         parts.append(scored.select((F.col(f"`{outcome}`") - F.col("__l")).alias("u"), (F.col(f"`{treatment}`") - vector_to_array("__prob")[1]).alias("v")))
-    return plr(reduce(DataFrame.unionByName, parts), treatment)
+    return reduce(DataFrame.unionByName, parts)
 
 
 def aipw_strata(df: DataFrame, treatment: str, outcome: str, strata: list[str], fold: Column, k: int) -> DataFrame:
@@ -300,7 +396,10 @@ def frontdoor_plugin(df: DataFrame, treatment: str, outcome: str, mediator: str)
     rows = df.select(as_double(treatment).alias("t"), F.col(f"`{mediator}`").alias("m"), as_double(outcome).alias("y")).dropna()
     cells = rows.groupBy("m").agg(*[F.sum((F.col("t") == v).cast("double")).alias(f"n{v}") for v in (0, 1)], *[F.avg(F.when(F.col("t") == v, F.col("y"))).alias(f"y{v}") for v in (0, 1)])
     total = rows.agg(F.count("*").alias("n"), F.sum("t").alias("n1")).first()
-    n1, n0 = total["n1"], total["n"] - total["n1"]
+    n1 = total["n1"] or 0
+    n0 = total["n"] - n1
+    if not n1 or not n0:
+        return estimate(df.sparkSession, "Frontdoor Adjustment", "ATE_plugin", treatment, math.nan, None, total["n"])
     share = n1 / total["n"]
     value = (F.col("n1") / n1 - F.col("n0") / n0) * (F.coalesce("y1", "y0") * share + F.coalesce("y0", "y1") * (1 - share))
     got = cells.agg(F.sum(value).alias("d")).first()["d"]

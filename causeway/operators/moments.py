@@ -102,7 +102,8 @@ class Fit:
         return math.sqrt(max(0.0, self.sigma2 * self.inverse[i, i])) if self.df > 0 else math.nan
 
     def of(self, term: str) -> float:
-        return float(self.coef[self.terms.index(term)])
+        """NaN where there are no rows to tell."""
+        return float(self.coef[self.terms.index(term)]) if self.n else math.nan
 
     def p_value(self, term: str) -> float:
         se = self.se(term)

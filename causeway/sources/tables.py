@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,3 +64,16 @@ def profile(df: DataFrame) -> DataFrame:
     sums = [F.sum(is_missing(df, c).cast("long")).alias(f"m{i}") for i, c in enumerate(df.columns)]
     packed = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(t).alias("type"), F.coalesce(F.col(f"m{i}"), F.lit(0)).cast("long").alias("missing")) for i, (c, t) in enumerate(df.dtypes)])
     return df.agg(F.count("*").alias("rows"), *sums).select("rows", F.explode(packed).alias("p")).select("p.column", "p.type", "rows", "p.missing")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, written to the folder that the session names in spark.checkpoint.dir, where its lineage ends.
+
+    A local session that names none gets a folder of its own; a cluster must name one that its executors share."""
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise ValueError("a cluster must name a shared folder in spark.checkpoint.dir")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp"))
+    return df.checkpoint()
