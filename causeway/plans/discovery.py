@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -51,20 +52,29 @@ def fisher_z(m: Moments, a: str, b: str, given) -> tuple[float, float]:
     return z, two_sided_normal(z)
 
 
-def chi_square_independent(df: DataFrame, a: str, b: str, given, alpha: float) -> bool:
-    """Pearson's test on contingency tables within the values of the given columns, for discrete columns."""
+def chi_square(df: DataFrame, a: str, b: str, given=()) -> tuple[float, int, float]:
+    """(statistic, degrees of freedom, p) of Pearson's test on contingency tables within the values of the given columns.
+
+    One count of the cells that occur is all that reads the rows. The sum over all cells of (n - e)^2 / e is the sum of
+    n^2 / e over those that occur, less the rows, as the e of a table add up to its rows; so empty cells need not be made.
+    Rows with a null in any of the columns are left out."""
     from causeway.functions.dist import chi2_cdf
 
-    key = F.struct(*[F.col(f"`{g}`") for g in given]) if given else F.struct(F.lit(0).alias("none"))
-    cells = df.groupBy(key.alias("z"), F.col(f"`{a}`").alias("a"), F.col(f"`{b}`").alias("b")).agg(F.count("*").alias("n"))
-    rows = cells.groupBy("z", "a").agg(F.sum("n").alias("na"))
-    cols = cells.groupBy("z", "b").agg(F.sum("n").alias("nb"))
-    tot = cells.groupBy("z").agg(F.sum("n").alias("nz"), F.count_distinct("a").alias("ka"), F.count_distinct("b").alias("kb"))
-    grid = rows.join(cols, "z").join(tot, "z").join(cells, ["z", "a", "b"], "left")  # every cell of each small table
-    e = F.col("na") * F.col("nb") / F.col("nz")
-    stat = grid.agg(F.sum(F.pow(F.coalesce("n", F.lit(0)) - e, F.lit(2.0)) / e).alias("s")).first()["s"]
-    free = tot.agg(F.sum((F.col("ka") - 1) * (F.col("kb") - 1)).alias("d")).first()["d"]
-    return not free or 1 - chi2_cdf(stat or 0.0, free) > alpha
+    names = [f"z{i}" for i in range(len(given))] or ["z"]
+    columns = [F.col(f"`{c}`").alias(n) for c, n in zip([a, b, *given], ["a", "b", *names], strict=False)]
+    whole = df.select(*columns).dropna() if given else df.select(*columns, F.lit(0).alias("z")).dropna()
+    cells = whole.groupBy("a", "b", *names).agg(F.count("*").cast("double").alias("n"))
+    rows, cols = (cells.groupBy(k, *names).agg(F.sum("n").alias(f"n{k}")) for k in ("a", "b"))
+    shares = cells.join(rows, ["a", *names]).join(cols, ["b", *names]).groupBy(*names).agg(F.sum(F.col("n") * F.col("n") / (F.col("na") * F.col("nb"))).alias("q"), F.sum("n").alias("n"))
+    ka, kb = (t.groupBy(*names).agg(F.count("*").alias(f"k{k}")) for t, k in ((rows, "a"), (cols, "b")))
+    tables = shares.join(ka, names).join(kb, names)
+    row = tables.agg(F.sum(F.col("n") * (F.col("q") - 1)).alias("s"), F.sum((F.col("ka") - 1) * (F.col("kb") - 1)).alias("d")).first()
+    statistic, free = max(0.0, row["s"] or 0.0), int(row["d"] or 0)
+    return statistic, free, 1 - chi2_cdf(statistic, free) if free else 1.0
+
+
+def chi_square_independent(df: DataFrame, a: str, b: str, given, alpha: float) -> bool:
+    return chi_square(df, a, b, given)[2] > alpha
 
 
 def skeleton(nodes: list[str], independent) -> tuple[MixedGraph, dict[frozenset, tuple[str, ...]]]:
@@ -172,54 +182,94 @@ def possible_d_sep(g: MixedGraph, a: str) -> set[str]:
     return out - {a}
 
 
-def fci_pag(m: Moments, columns: list[str], alpha: float = 0.05, most: int = 4) -> MixedGraph:
-    """Partial ancestral graph: skeleton, pruning by possible d-separators, colliders, rules 1 to 4."""
-    independent = lambda a, b, s: fisher_z(m, a, b, s)[1] > alpha
-    g, sets = skeleton(sorted(columns), independent)
+def separating_set(g: MixedGraph, a: str, b: str, independent) -> tuple[str, ...] | None:
+    """A set of possible d-separators of a (or of b) that makes them independent, the smallest first, of any size; None if there is none."""
+    for x, y in ((a, b), (b, a)):
+        pool = sorted(possible_d_sep(g, x) - {y})
+        found = next((s for k in range(1, len(pool) + 1) for s in combinations(pool, k) if independent(a, b, s)), None)
+        if found is not None:
+            return found
+    return None
+
+
+def fci_from(nodes: list[str], independent) -> MixedGraph:
+    """Partial ancestral graph from a test of independence: skeleton, possible d-separators, colliders, all ten rules.
+
+    independent(a, b, s) tells whether a and b are independent given s. Hidden common causes give arrows at both ends,
+    selection tails at both ends."""
+    g, sets = skeleton(sorted(nodes), independent)
     colliders(g, sets)
     for a, b in combinations(g.nodes, 2):
-        for x, y in ((a, b), (b, a)):
-            pool = sorted(possible_d_sep(g, x) - {y}) if g.is_edge(a, b) else []
-            found = next((s for k in range(1, min(most, len(pool)) + 1) for s in combinations(pool, k) if independent(a, b, s)), None)
-            if found is not None:
-                g.cut(a, b)
-                sets[frozenset((a, b))] = found
+        if g.is_edge(a, b) and (found := separating_set(g, a, b, independent)) is not None:
+            g.cut(a, b)
+            sets[frozenset((a, b))] = found
     for e in g.marks:
         g.marks[e] = CIRCLE
     colliders(g, sets)
-    mark, change = g.marks, True
+    return oriented(g, sets)
 
-    def put(a: str, b: str, what: str) -> bool:
-        if mark[a, b] == CIRCLE:
-            mark[a, b] = what
-            return True
-        return False
 
-    while change:
-        change = False
-        for b in g.nodes:
-            for a in g.near(b):
-                for c in g.near(b):
-                    if a == c:
-                        continue
-                    if mark[a, b] == ARROW and not g.is_edge(a, c) and mark[c, b] == CIRCLE:
-                        change |= put(c, b, TAIL) | put(b, c, ARROW)
-                    if g.is_edge(a, c) and mark[a, c] == CIRCLE and ((g.directed(a, b) and mark[b, c] == ARROW) or (mark[a, b] == ARROW and g.directed(b, c))):
-                        change |= put(a, c, ARROW)
-                    if not g.is_edge(a, c) and mark[a, b] == ARROW and mark[c, b] == ARROW:
-                        for d in g.near(b):
-                            if d not in (a, c) and mark[d, b] == CIRCLE and g.is_edge(a, d) and g.is_edge(c, d) and mark[a, d] == mark[c, d] == CIRCLE:
-                                change |= put(d, b, ARROW)
-        for b in g.nodes:
+def fci_pag(m: Moments, columns: list[str], alpha: float = 0.05) -> MixedGraph:
+    return fci_from(columns, lambda a, b, s: fisher_z(m, a, b, s)[1] > alpha)
+
+
+class _Marks:
+    """Puts marks in place of circles, and notes whether any was put."""
+
+    def __init__(self, g: MixedGraph):
+        self.g, self.changed = g, False
+
+    def put(self, a: str, b: str, what: str) -> None:
+        """what at b's end of the edge between a and b."""
+        if self.g.marks[a, b] == CIRCLE:
+            self.g.marks[a, b] = what
+            self.changed = True
+
+
+def oriented(g: MixedGraph, sets: dict) -> MixedGraph:
+    """g with all marks that follow: arrowheads and tails of single pairs (rules 1 to 3), discriminating paths (4), selection (5 to 7), tails of longer ways (8 to 10)."""
+    rules = (lambda m: _local_rules(m), lambda m: _discriminating_paths(m, sets), _circle_cycles, _tails_from_selection, _tails_of_ways)
+    while True:
+        for rule in rules:
+            marks = _Marks(g)
+            rule(marks)
+            if marks.changed:
+                break  # earlier rules come first again
+        else:
+            return g
+
+
+def _local_rules(m: _Marks) -> None:
+    g, mark = m.g, m.g.marks
+    for b in g.nodes:
+        for a in g.near(b):
             for c in g.near(b):
-                if mark[c, b] == CIRCLE and (path := _discriminating(g, b, c)):
-                    if b in sets.get(frozenset((path[0], c)), ()):
-                        change |= put(c, b, TAIL) | put(b, c, ARROW)
-                    else:
-                        a = path[-2]
-                        mark[a, b] = mark[b, a] = mark[b, c] = mark[c, b] = ARROW
-                        change = True
-    return g
+                if a == c:
+                    continue
+                apart = not g.is_edge(a, c)
+                if apart and mark[a, b] == ARROW and mark[c, b] == CIRCLE:  # 1
+                    m.put(c, b, TAIL), m.put(b, c, ARROW)
+                if not apart and mark[a, c] == CIRCLE and ((g.directed(a, b) and mark[b, c] == ARROW) or (mark[a, b] == ARROW and g.directed(b, c))):  # 2
+                    m.put(a, c, ARROW)
+                if apart and mark[a, b] == ARROW and mark[c, b] == ARROW:  # 3
+                    for d in g.near(b):
+                        if d not in (a, c) and mark[d, b] == CIRCLE and g.is_edge(a, d) and g.is_edge(c, d) and mark[a, d] == mark[c, d] == CIRCLE:
+                            m.put(d, b, ARROW)
+
+
+def _discriminating_paths(m: _Marks, sets: dict) -> None:
+    g = m.g
+    for b in g.nodes:
+        for c in g.near(b):
+            if g.marks[c, b] == CIRCLE and (path := _discriminating(g, b, c)):  # 4
+                if b in sets.get(frozenset((path[0], c)), ()):
+                    m.put(c, b, TAIL), m.put(b, c, ARROW)
+                else:
+                    a = path[-2]
+                    for x, y in ((a, b), (b, a), (b, c), (c, b)):
+                        m.changed |= g.marks[x, y] != ARROW
+                        g.marks[x, y] = ARROW
+                return
 
 
 def _discriminating(g: MixedGraph, b: str, c: str) -> list[str] | None:
@@ -237,6 +287,73 @@ def _discriminating(g: MixedGraph, b: str, c: str) -> list[str] | None:
     return None
 
 
+def uncovered_paths(g: MixedGraph, a: str, b: str, step, first: list[str] | None = None):
+    """Paths of three nodes or more from a to b on which no node's two neighbours are adjacent, whose edges all pass step(x, y); lazily, short ones first."""
+    todo = [[a, x] for x in (first if first is not None else g.near(a)) if x != b and step(a, x)]
+    while todo:
+        p = todo.pop(0)
+        for x in g.near(p[-1]):
+            if x in p or not step(p[-1], x) or g.is_edge(p[-2], x):
+                continue
+            if x == b:
+                yield [*p, x]
+            else:
+                todo.append([*p, x])
+
+
+def _circle_cycles(m: _Marks) -> None:
+    """Rule 5: an edge and an uncovered path, all circles, whose ends see each other only through the edge, are of selection."""
+    g, mark = m.g, m.g.marks
+    circles = lambda x, y: mark[x, y] == mark[y, x] == CIRCLE
+    for a, b in combinations(g.nodes, 2):
+        if not g.is_edge(a, b) or not circles(a, b):
+            continue
+        for p in uncovered_paths(g, a, b, circles):
+            if len(p) > 3 and not g.is_edge(p[1], b) and not g.is_edge(a, p[-2]):
+                for x, y in zip([*p, b], [*p[1:], a], strict=False):
+                    m.put(x, y, TAIL), m.put(y, x, TAIL)
+                m.put(a, b, TAIL), m.put(b, a, TAIL)
+                return
+
+
+def _tails_from_selection(m: _Marks) -> None:
+    g, mark = m.g, m.g.marks
+    for b in g.nodes:
+        for c in g.near(b):
+            if mark[c, b] != CIRCLE:
+                continue
+            for a in g.near(b):
+                if a == c:
+                    continue
+                selected = mark[a, b] == mark[b, a] == TAIL  # 6
+                half = mark[b, a] == TAIL and mark[a, b] == CIRCLE and not g.is_edge(a, c)  # 7
+                if selected or half:
+                    m.put(c, b, TAIL)
+
+
+def _tails_of_ways(m: _Marks) -> None:
+    """Rules 8 to 10: a tail at a for a o-> c where a is an ancestor of c in every graph of the class."""
+    g, mark = m.g, m.g.marks
+    onward = lambda x, y: mark[y, x] != ARROW and mark[x, y] != TAIL  # noqa: E731  x may come before y
+    for a in g.nodes:
+        for c in g.near(a):
+            if not (mark[a, c] == ARROW and mark[c, a] == CIRCLE):
+                continue
+            between = [b for b in g.near(a) if b != c and g.directed(b, c)]
+            if any(mark[b, a] == TAIL and mark[a, b] in (ARROW, CIRCLE) for b in between):  # 8
+                m.put(c, a, TAIL)
+                continue
+            if any(not g.is_edge(p[1], c) for p in uncovered_paths(g, a, c, onward)):  # 9
+                m.put(c, a, TAIL)
+                continue
+            parents = [b for b in g.near(c) if b != a and g.directed(b, c)]
+            starts = {b: {b} if g.is_edge(a, b) and onward(a, b) else set() for b in parents}  # the first nodes of uncovered ways to each parent
+            for b in parents:
+                starts[b] |= {p[1] for p in uncovered_paths(g, a, b, onward)}
+            if any(x != y and not g.is_edge(x, y) for b, d in combinations(parents, 2) for x in starts[b] for y in starts[d]):  # 10
+                m.put(c, a, TAIL)
+
+
 def pag_to_dag(g: MixedGraph) -> CausalGraph:
     """Directed edges stay, bidirected ones become a latent common cause U_a_b, others go; cycles lose their closing edge."""
     out = CausalGraph(set(g.nodes))
@@ -296,8 +413,22 @@ def extension(nodes, directed: set, undirected: set) -> CausalGraph | None:
     return out
 
 
-def ges_from(m: Moments, columns: list[str], most_subset: int = 3) -> tuple[set, set]:
-    """Greedy equivalence search: best valid insertion until none raises the score, then best valid deletion."""
+def cliques_with(base: set[str], pool: list[str], adjacent):
+    """Subsets of pool (as sets) that are a clique together with base, each once; a set is only enlarged while it is one."""
+    if not all(adjacent(a, b) for a, b in combinations(sorted(base), 2)):
+        return
+    todo = [(frozenset(), [p for p in pool if all(adjacent(p, b) for b in base)])]
+    while todo:
+        chosen, left = todo.pop()
+        yield set(chosen)
+        for i, p in enumerate(left):
+            todo.append((chosen | {p}, [q for q in left[i + 1 :] if adjacent(p, q)]))
+
+
+def ges_from(m: Moments, columns: list[str]) -> tuple[set, set]:
+    """Greedy equivalence search: best valid insertion until none raises the score, then best valid deletion.
+
+    An operator's subsets of neighbours are those that leave a clique, of any size; they are found by growing cliques."""
     nodes, directed, undirected = sorted(columns), set(), set()
     memo: dict[tuple, float] = {}
 
@@ -320,27 +451,23 @@ def ges_from(m: Moments, columns: list[str], most_subset: int = 3) -> tuple[set,
                     mates = {next(iter(e - {y})) for e in undirected if y in e} - {x}
                     na = {z for z in mates if adjacent(z, x)}
                     parents = {a for a, b in directed if b == y} - {x}
-                    pool = sorted(mates - na if inserting else na)
-                    for k in range(min(most_subset, len(pool)) + 1):
-                        for s in combinations(pool, k):
-                            clique = na | set(s) if inserting else na - set(s)
-                            if not all(adjacent(a, b) for a, b in combinations(clique, 2)):
-                                continue
-                            gain = score(y, clique | parents | {x}) - score(y, clique | parents)
-                            gain = gain if inserting else -gain
-                            if gain <= best[0]:
-                                continue
-                            d, u = set(directed), set(undirected)
-                            if inserting:
-                                d |= {(x, y)} | {(t, y) for t in s}
-                                u -= {frozenset((t, y)) for t in s}
-                            else:
-                                d -= {(x, y)}
-                                u -= {frozenset((x, y))} | {frozenset((h, z)) for h in s for z in (x, y)}
-                                d |= {(z, h) for h in s for z in (x, y) if frozenset((h, z)) in undirected}
-                            dag = extension(nodes, d, u)
-                            if dag is not None:
-                                best = (gain, dag)
+                    for part in cliques_with(na, sorted(mates - na), adjacent) if inserting else cliques_with(set(), sorted(na), adjacent):
+                        clique, s = (na | part, part) if inserting else (part, na - part)
+                        gain = score(y, clique | parents | {x}) - score(y, clique | parents)
+                        gain = gain if inserting else -gain
+                        if gain <= best[0]:
+                            continue
+                        d, u = set(directed), set(undirected)
+                        if inserting:
+                            d |= {(x, y)} | {(t, y) for t in s}
+                            u -= {frozenset((t, y)) for t in s}
+                        else:
+                            d -= {(x, y)}
+                            u -= {frozenset((x, y))} | {frozenset((h, z)) for h in s for z in (x, y)}
+                            d |= {(z, h) for h in s for z in (x, y) if frozenset((h, z)) in undirected}
+                        dag = extension(nodes, d, u)
+                        if dag is not None:
+                            best = (gain, dag)
             if best[1] is None:
                 break
             directed, undirected = cpdag(best[1])
@@ -367,13 +494,15 @@ def notears_from(cov: np.ndarray, lam: float = 0.01, most: int = 100, threshold:
     d = len(cov)
     w, rho, alpha, h = np.zeros((d, d)), 1.0, 0.0, math.inf
     eye = np.eye(d)
-    acyclic = lambda v: float(np.trace(expm(v * v)) - d)
+    acyclic = lambda v: float(np.trace(expm(v * v)) - d) if (v * v).sum(axis=1).max() < 200 else math.inf  # noqa: E731  beyond, a step is too long anyway
     for _ in range(most):
         while rho < 1e16:
             v, step = w.copy(), 1.0
 
             def smooth(x, rho=rho):
                 hx = acyclic(x)
+                if not math.isfinite(hx):
+                    return math.inf
                 return 0.5 * float(np.trace((eye - x).T @ cov @ (eye - x))) + alpha * hx + 0.5 * rho * hx * hx
 
             for _ in range(500):
@@ -467,11 +596,13 @@ def lingam(df: DataFrame, columns: list[str], least: float = 0.05) -> CausalGrap
     return g
 
 
+#: G of the kernels exp(-g * squared distance) that are added up.
 BANDWIDTHS = (0.01, 0.1, 1.0, 10.0, 100.0)
+FEATURES = 64  # random frequencies of each kernel
 
 
 def mmd(a: np.ndarray, b: np.ndarray) -> float:
-    """Squared maximum mean discrepancy with a sum of Gaussian kernels (biased)."""
+    """Squared maximum mean discrepancy with a sum of Gaussian kernels (biased), from all pairs: for small tables."""
     def k(x, y):
         d = ((x[:, None, :] - y[None, :, :]) ** 2).sum(-1)
         return sum(np.exp(-g * d) for g in BANDWIDTHS).mean()
@@ -479,6 +610,32 @@ def mmd(a: np.ndarray, b: np.ndarray) -> float:
     return float(k(a, a) + k(b, b) - 2 * k(a, b))
 
 
+def frequencies(width: int, features: int = FEATURES, seed: int = 0) -> np.ndarray:
+    """Frequencies of each kernel's random Fourier features, (kernels, features, width): normal with variance 2 g."""
+    rng = np.random.default_rng(seed)
+    return np.sqrt(2 * np.array(BANDWIDTHS))[:, None, None] * rng.standard_normal((len(BANDWIDTHS), features, width))
+
+
+def mmd_features(a: DataFrame, b: DataFrame, features: int = FEATURES, seed: int = 0) -> tuple[float, float]:
+    """(mmd, its standard error) of two whole tables of as many numeric columns, linear in rows.
+
+    A Gaussian kernel is the mean of cos(w * difference) over normal frequencies w, so each frequency gives the squared
+    distance of two mean points on the unit circle. Averages of sines and cosines are one aggregate; the error, from the spread over frequencies, falls with the root of their number, whatever the tables' sizes."""
+    width = len(a.columns)
+    w = frequencies(width, features, seed).reshape(len(BANDWIDTHS) * features, -1)
+    names = [f"x{i}" for i in range(width)]
+    both = complete(a.toDF(*names), names).withColumn("side", F.lit(0)).unionByName(complete(b.toDF(*names), names).withColumn("side", F.lit(1)))
+    waves = F.array(*[F.struct(F.lit(j).alias("j"), *[F.lit(float(c)).alias(f"w{i}") for i, c in enumerate(row)]) for j, row in enumerate(w)])
+    each = both.select("side", *names, F.explode(waves).alias("w"))
+    angle = reduce(lambda t, i: t + F.col(f"x{i}") * F.col(f"w.w{i}"), range(1, width), F.col("x0") * F.col("w.w0"))
+    means = each.select("side", F.col("w.j").alias("j"), angle.alias("angle")).groupBy("side", "j").agg(F.avg(F.cos("angle")).alias("c"), F.avg(F.sin("angle")).alias("s"))
+    centre = np.full((2, len(w), 2), np.nan)
+    for r in means.collect():  # one row for each frequency and table
+        centre[r["side"], r["j"]] = r["c"], r["s"]
+    each = ((centre[0] - centre[1]) ** 2).sum(axis=1).reshape(len(BANDWIDTHS), features)
+    return float(each.mean(axis=1).sum()), float(np.sqrt((each.var(axis=1, ddof=1) / features).sum()))
+
+
 def generator_loss(x: np.ndarray, y: np.ndarray, hidden: int, runs: int, steps: int = 150, seed: int = 0) -> float:
     """Mean discrepancy of (x, f(x, noise)) from (x, y) for one-hidden-layer nets f fitted to y, over several starts."""
     out, n = [], len(x)

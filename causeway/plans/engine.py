@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
@@ -11,28 +9,10 @@ from pyspark.sql import DataFrame
 from causeway.operators import diagnostics, estimators, prep
 from causeway.plans.discovery import discover
 from causeway.plans.graph import CausalGraph, backdoor_set
-from causeway.plans.planner import ESTIMATORS, plan
+from causeway.plans.intent import Answerer, ask, resolve
+from causeway.plans.planner import ESTIMATORS, covariates, instrument_plan, plan
 from causeway.roles import CausalQuery, EffectPlan
-from causeway.sources.tables import numeric_columns
-
-
-def resolve(question: str, columns: list[str], answer: Callable[[list[dict]], str] | None = None) -> CausalQuery:
-    """Roles from a question. Without a function that answers messages: the first two columns that the question names."""
-    if answer:
-        ask = lambda part: answer([{"role": "system", "content": f"Columns: {', '.join(columns)}. Answer with one column name, or None."}, {"role": "user", "content": f"{question}\nWhich column is the {part}?"}])
-        parts = {k: ask(k) for k in ("treatment", "outcome", "time", "running", "cutoff", "group", "instruments", "mediators")}
-        return CausalQuery.of(parts.pop("treatment"), parts.pop("outcome"), **parts)
-    words = re.findall(r"[a-z0-9]+", question.lower())
-    spot = {}
-    for c in columns:
-        tokens = re.findall(r"[a-z0-9]+", c.lower().replace("_", " "))
-        places = [i for i, w in enumerate(words) if any(w == t or (len(t) > 3 and (w.startswith(t) or t.startswith(w)) and len(w) > 3) for t in tokens)]
-        if places:
-            spot[c] = places[0]
-    named = sorted(spot, key=lambda c: (spot[c], c))
-    if len(named) < 2:
-        raise ValueError("the question names fewer than two columns")
-    return CausalQuery(named[0], named[1])
+from causeway.sources.tables import numeric_columns, preview
 
 
 def estimate(df: DataFrame, query: CausalQuery, how: EffectPlan, key: list[str] | None = None) -> DataFrame:
@@ -52,8 +32,7 @@ def estimate(df: DataFrame, query: CausalQuery, how: EffectPlan, key: list[str]
         case "Propensity Score":
             return estimators.ipw(estimators.logistic_propensity(estimators.binary(df, t), t, list(how.adjustment), folds=5), t, y)
         case "DML":
-            n = df.count()
-            k = min(20, estimators.fold_count(n))
+            k = estimators.fold_count(df.count())
             return estimators.dml_linear(df, t, y, how.adjustment, estimators.hashed_fold(key or df.columns, k), k)
         case "G Computation":
             return estimators.gcomp(df, t, y, how.adjustment)
@@ -72,37 +51,60 @@ class Answer:
     codebook: DataFrame
 
 
+def asked_plan(query: CausalQuery, graph: CausalGraph) -> EffectPlan:
+    """The plan for the estimator that the query names, with the sets that the query or the graph gives it."""
+    how = EffectPlan(query.algorithm, query.adjustment, query.instruments, query.mediators, "asked for")
+    match query.algorithm:
+        case "IV":
+            found = instrument_plan(query, graph)
+            return replace(found, reason=f"asked for; {found.reason}") if found else how
+        case "DiD":
+            return replace(how, adjustment=covariates(query, graph))
+        case "RCT" | "RDD" | "Frontdoor Adjustment":
+            return how
+    return replace(how, adjustment=query.adjustment or tuple(backdoor_set(graph, query.treatment, query.outcome) or ()))
+
+
 def answer(df: DataFrame, query: CausalQuery, graph: CausalGraph | None = None, with_tests: bool = False, key: list[str] | None = None) -> Answer:
     """Prepare the table, find a graph if none is given, choose an estimator (or take the query's), and estimate."""
     query.check(df.columns)
-    ready, book = prep.full_preprocess(df)
-    roles = [query.treatment, query.outcome, *(c for c in (query.time, query.group, query.running) if c), *query.instruments, *query.mediators, *query.adjustment]
-    lost = [c for c in dict.fromkeys(roles) if c not in ready.columns]
-    if lost:  # a column with a role is not pruned
-        whole, _ = prep.encode_categoricals(prep.handle_missing(df), prep.ENCODE_SHARE)
-        ready = whole.select([c for c in whole.columns if c in ready.columns or c in lost])
+    ready, book = prep.full_preprocess(df, keep=roles_of(query))
     ready = ready.persist()
-    numeric = [c for c in numeric_columns(ready) if not key or c not in key]
-    if graph is None:
-        name, graph = discover(ready.select(numeric), numeric, query.latent)
-    else:
-        name = "given"
-    near = query.running and query.cutoff is not None and diagnostics.rdd_ok(ready, query.running, query.treatment, query.outcome, query.cutoff)
-    trend = False
-    if query.time and query.group and not query.randomized:
-        rows = diagnostics.lead_interactions(ready, query.treatment, query.outcome, query.group, [query.time]).collect()
-        trend = all(r["passed"] for r in rows)
-    if query.algorithm:
-        adjust = query.adjustment or tuple(backdoor_set(graph, query.treatment, query.outcome) or ())
-        how = EffectPlan(query.algorithm, adjust, query.instruments, query.mediators, "asked for")
-    else:
-        how = plan(query, graph, ready.count(), bool(near), trend)
-    if how.method == "OLS" and not how.adjustment and query.adjustment:
-        how = replace(how, adjustment=query.adjustment)
-    tests = None
-    if with_tests:
-        tests = diagnostics.run_all(ready, query.treatment, query.outcome, [c for c in graph.observed() if c in numeric], how.instruments, how.mediators, query.group, [query.time] if query.time else None, query.running, query.cutoff, key)
-    return Answer(how, graph, name, estimate(ready, query, how, key), tests, book)
-
-
-__all__ = ["Answer", "answer", "estimate", "resolve"]
+    try:
+        numeric = [c for c in numeric_columns(ready) if not key or c not in key]
+        if graph is None:
+            name, graph = discover(ready.select(numeric), numeric, query.latent)
+        else:
+            name = "given"
+        if query.algorithm:
+            how = asked_plan(query, graph)
+        else:
+            near = query.running and query.cutoff is not None and diagnostics.rdd_ok(ready, query.running, query.treatment, query.outcome, query.cutoff)
+            trend = False
+            if query.time and query.group and not query.randomized:
+                rows = diagnostics.lead_interactions(ready, query.treatment, query.outcome, query.group, [query.time]).collect()  # one row for each lead
+                trend = all(r["passed"] for r in rows)
+            how = plan(query, graph, ready.count(), bool(near), trend)
+        if how.method == "OLS" and not how.adjustment and query.adjustment:
+            how = replace(how, adjustment=query.adjustment)
+        tests = None
+        if with_tests:
+            tests = diagnostics.run_all(ready, query.treatment, query.outcome, [c for c in graph.observed() if c in numeric], how.instruments, how.mediators, query.group, [query.time] if query.time else None, query.running, query.cutoff, key)
+        return Answer(how, graph, name, estimate(ready, query, how, key), tests, book)  # estimates and tests are rows already, not plans over ready
+    finally:
+        ready.unpersist()
+
+
+def roles_of(query: CausalQuery) -> list[str]:
+    named = [query.treatment, query.outcome, query.time, query.group, query.running, *query.instruments, *query.mediators, *query.adjustment]
+    return list(dict.fromkeys(c for c in named if c))
+
+
+def answer_question(df: DataFrame, question: str, ask_model: Answerer, order: list[str] | None = None, with_tests: bool = False, key: list[str] | None = None) -> Answer:
+    """From a question in words: a model names the roles, perhaps an estimator and a graph; then as `answer`."""
+    rows = [" ".join(map(str, r)) for r in preview(df, order or df.columns[:1]).collect()]  # three rows
+    intent = ask(question, "\n".join([" ".join(df.columns), *rows]), df.columns, ask_model)
+    return answer(df, intent.query, intent.graph, with_tests, key)
+
+
+__all__ = ["Answer", "answer", "answer_question", "estimate", "resolve"]

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 from itertools import combinations
@@ -12,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from causeway.operators.results import edges as edge_rows
+from causeway.sources.tables import checkpointed
 
 
 @dataclass
@@ -39,6 +39,14 @@ class CausalGraph:
             out |= dict.fromkeys(zip(names, names[1:], strict=False))
         return cls.from_edges(e for e in out if all(e))
 
+    @classmethod
+    def from_table(cls, edges: DataFrame, most: int = 10_000) -> CausalGraph:
+        """Edges of a table with src and dst; an error where there are more than a graph of columns can have."""
+        found = edges.select("src", "dst").dropna().distinct().limit(most + 1).collect()
+        if len(found) > most:
+            raise ValueError(f"more than {most} edges")
+        return cls.from_edges(sorted((r["src"], r["dst"]) for r in found))
+
     def add(self, a: str, b: str, weight: float | None = None) -> None:
         self.nodes |= {a, b}
         self.weights[a, b] = weight
@@ -153,11 +161,7 @@ def backdoor_set(g: CausalGraph, t: str, y: str, covariates: Iterable[str] | Non
         return None
     cut = g.without_outgoing([t])
     pool = sorted(set(covariates if covariates is not None else g.observed()) & set(g.observed()) - {t, y} - g.descendants(t))
-    for k in range(len(pool) + 1):
-        for z in combinations(pool, k):
-            if cut.separated([t], [y], z):
-                return list(z)
-    return None
+    return separator(cut, [t], [y], pool)
 
 
 def frontdoor_set(g: CausalGraph, t: str, y: str, strict_reference: bool = False) -> list[str]:
@@ -191,6 +195,59 @@ def instruments(g: CausalGraph, t: str, y: str, mode: str = "graphical") -> list
     return out
 
 
+def separator(g: CausalGraph, xs: Iterable[str], ys: Iterable[str], pool: Iterable[str]) -> list[str] | None:
+    """The smallest (then alphabetically first) subset of pool that separates xs from ys; None if no subset does.
+
+    A smallest separator holds only ancestors of xs and ys, and if any subset separates, then all such ancestors of the
+    pool do. So the search is over those alone, and ends before it begins where they do not."""
+    xs, ys = set(xs), set(ys)
+    near = sorted((set(pool) - xs - ys) & (g.ancestors(*xs, *ys)))
+    if not g.separated(xs, ys, near):
+        return None
+    return next(list(w) for k in range(len(near) + 1) for w in combinations(near, k) if g.separated(xs, ys, w))
+
+
+def conditional_instruments(g: CausalGraph, t: str, y: str, named: Iterable[str] = ()) -> tuple[list[str], list[str]] | None:
+    """(instruments, W): nodes that move t given W and reach y through t alone once W is held, for the smallest W that there is.
+
+    W holds observed nodes that t does not change. Among equally small sets the alphabetically first instrument decides,
+    and all others that are valid given the same W join it. With named instruments W must suit all of them together, and
+    one must move t. None if there are none or the graph has a cycle."""
+    named = sorted(set(named))
+    if not g.is_dag() or not {t, y, *named} <= g.nodes:
+        return None
+    changed = g.descendants(t)
+    pool = [x for x in g.observed() if x not in (t, y) and x not in changed and x not in g.descendants(y)]
+    cut = g.without_outgoing([t])
+
+    def moves(z: str, w: Iterable[str]) -> bool:
+        return not g.separated([z], [t], w)
+
+    if named:
+        free = [x for x in pool if x not in named]
+        if changed & set(named):
+            return None
+        near = sorted(set(free) & cut.ancestors(*named, y))
+        fits = (w for k in range(len(near) + 1) for w in combinations(near, k) if cut.separated(named, [y], w) and any(moves(z, w) for z in named))
+        w = next(fits, None) if cut.separated(named, [y], near) else None
+        return None if w is None else (named, list(w))
+    best: tuple[int, str, tuple[str, ...]] | None = None
+    for z in pool:
+        near = sorted((set(pool) - {z}) & cut.ancestors(z, y))
+        if not cut.separated([z], [y], near):
+            continue
+        most = len(near) if best is None else min(len(near), best[0] - 1)
+        for k in range(most + 1):
+            w = next((w for w in combinations(near, k) if moves(z, w) and cut.separated([z], [y], w)), None)
+            if w is not None:
+                best = (k, z, w)
+                break
+    if best is None:
+        return None
+    w = best[2]
+    return [z for z in pool if z not in w and moves(z, w) and cut.separated([z], [y], w)], list(w)
+
+
 def do_rule(g: CausalGraph, rule: int, y, z, x=(), w=(), mode: str = "textbook") -> bool:
     """Whether a rule of the do-calculus applies: 1 drops observation z, 2 turns action z into observation, 3 drops action z."""
     x, y, z, w = ([v] if isinstance(v, str) else list(v) for v in (x, y, z, w))
@@ -220,15 +277,9 @@ def closure(edges: DataFrame) -> DataFrame:
 
     Known paths are joined end to end until there is no new one, so rounds are the logarithm of the longest path. Each
     round's distinct pairs are written to the shared checkpoint folder, where the lineage ends."""
-    sc = edges.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        named = edges.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and not sc.master.startswith("local"):
-            raise ValueError("a cluster must name a shared folder in spark.checkpoint.dir")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp"))
-    paths, known = edges.select("src", "dst").dropna().distinct().checkpoint(), -1
+    paths, known = checkpointed(edges.select("src", "dst").dropna().distinct()), -1
     while (n := paths.count()) != known:
         known = n
         onward = paths.select(F.col("src").alias("dst"), F.col("dst").alias("to"))
-        paths = paths.union(paths.join(onward, "dst").select("src", F.col("to").alias("dst"))).distinct().checkpoint()
+        paths = checkpointed(paths.union(paths.join(onward, "dst").select("src", F.col("to").alias("dst"))).distinct())
     return paths

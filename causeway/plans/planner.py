@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from causeway.plans.graph import CausalGraph, backdoor_set, frontdoor_set, instruments
+from causeway.plans.graph import CausalGraph, backdoor_set, conditional_instruments, frontdoor_set, instruments
 from causeway.roles import CausalQuery, EffectPlan
 
+#: Shares for the words of a confidence.
+CONFIDENCE = {"HIGH": 0.9, "MID": 0.6, "LOW": 0.3}
 ESTIMATORS = ("G Computation", "Propensity Score", "DML", "IV", "RDD", "DiD", "OLS", "Frontdoor Adjustment", "RCT")
 
 
@@ -20,25 +22,48 @@ def discovery_algorithm(latent: bool, family: str | None, n: int, p: int) -> str
     return "LiNGAM" if large else "CGNN"
 
 
-def covariates(query: CausalQuery, graph: CausalGraph, used: tuple[str, ...] = ()) -> tuple[str, ...]:
-    """Columns that an estimator with a design of its own adjusts for: those asked for, else all of the graph but the roles and what the treatment changes."""
-    roles = {query.treatment, query.outcome, query.time, query.group, query.running, *query.instruments, *query.mediators, *used}
-    if query.adjustment:
-        return tuple(c for c in query.adjustment if c not in roles)
-    return tuple(c for c in graph.observed() if c not in roles | graph.descendants(query.treatment))
+def covariates(query: CausalQuery, graph: CausalGraph) -> tuple[str, ...]:
+    """Columns that a panel estimator adjusts for: those asked for, else the smallest set that the graph shows to close all back doors.
+
+    Never the roles. None where the graph offers no such set: what it cannot justify may open a path as well as close one."""
+    roles = {query.treatment, query.outcome, query.time, query.group, query.running, *query.instruments, *query.mediators}
+    chosen = query.adjustment or backdoor_set(graph, query.treatment, query.outcome, [c for c in graph.observed() if c not in roles]) or ()
+    return tuple(c for c in chosen if c not in roles)
+
+
+def instrument_plan(query: CausalQuery, graph: CausalGraph, strict_reference: bool = False) -> EffectPlan | None:
+    """Instruments, and the set given which they are valid; None if there are none.
+
+    Named instruments are taken as they are, with the adjustment asked for, else with the smallest set that makes them valid
+    in the graph (none if the graph shows none). Others are searched: first those that need no set, then the smallest set."""
+    t, y = query.treatment, query.outcome
+    if query.instruments:
+        found = conditional_instruments(graph, t, y, query.instruments)
+        adjust = query.adjustment or (found[1] if found else ())
+        return EffectPlan("IV", instruments=tuple(query.instruments), adjustment=tuple(adjust), reason="instruments" if found or query.adjustment else "instruments that the graph does not confirm")
+    if strict_reference:
+        z = instruments(graph, t, y, "reference")
+        return EffectPlan("IV", instruments=tuple(z), adjustment=query.adjustment, reason="instruments") if z else None
+    found = conditional_instruments(graph, t, y)
+    if not found:
+        return None
+    z, w = found
+    return EffectPlan("IV", instruments=tuple(z), adjustment=tuple(dict.fromkeys([*w, *(c for c in query.adjustment if c not in z)])), reason=f"instruments given {', '.join(w)}" if w else "instruments")
 
 
 def plan(query: CausalQuery, graph: CausalGraph, n: int, rdd_ok: bool = False, did_ok: bool = False, strict_reference: bool = False) -> EffectPlan:
-    """The first estimator whose conditions hold; the graph's sets that identify the effect go with it."""
+    """The first estimator whose conditions hold; the graph's sets that identify the effect go with it.
+
+    A design at a cutoff compares like with like, so it adjusts only for what is asked for."""
     t, y = query.treatment, query.outcome
     if query.randomized:
         return EffectPlan("RCT", reason="randomized")
     if query.cutoff is not None and rdd_ok:
-        return EffectPlan("RDD", adjustment=covariates(query, graph), reason="cutoff")
+        return EffectPlan("RDD", adjustment=tuple(c for c in query.adjustment if c not in (t, y, query.running)), reason="cutoff")
     if query.time is not None and did_ok:
         return EffectPlan("DiD", adjustment=covariates(query, graph), reason="time")
-    if z := list(query.instruments) or instruments(graph, t, y, "reference" if strict_reference else "graphical"):
-        return EffectPlan("IV", instruments=tuple(z), adjustment=covariates(query, graph, tuple(z)), reason="instruments")
+    if iv := instrument_plan(query, graph, strict_reference):
+        return iv
     if m := frontdoor_set(graph, t, y, strict_reference):
         return EffectPlan("Frontdoor Adjustment", mediators=tuple(m), reason="front door")
     adjust = None if query.latent else backdoor_set(graph, t, y)
@@ -50,7 +75,7 @@ def plan(query: CausalQuery, graph: CausalGraph, n: int, rdd_ok: bool = False, d
 
 
 def named_algorithm(answer, least_confidence: float = 0.0) -> str | None:
-    """An estimator's name from an answer: a name, or JSON with algorithm and confidence; None leaves it to the plan."""
+    """An estimator's name from an answer: a name, or JSON with inference_algorithm (or algorithm) and confidence; None leaves it to the plan."""
     import json
 
     if isinstance(answer, str) and answer.strip().startswith("{"):
@@ -59,11 +84,13 @@ def named_algorithm(answer, least_confidence: float = 0.0) -> str | None:
         except ValueError:
             return None
     if isinstance(answer, dict):
+        sure = answer.get("confidence", 1.0)
         try:
-            sure = float(answer.get("confidence", 1.0))
+            sure = CONFIDENCE[sure.strip().upper()] if isinstance(sure, str) and sure.strip().upper() in CONFIDENCE else float(sure)
         except (TypeError, ValueError):
             sure = 0.0
-        answer = answer.get("algorithm") if sure >= least_confidence else None
+        sure = sure / 100 if sure > 1 else sure
+        answer = answer.get("inference_algorithm", answer.get("algorithm")) if sure >= least_confidence else None
     if not isinstance(answer, str) or answer.strip().strip("*").lower() in ("", "none"):
         return None
     for name in ESTIMATORS:
