@@ -131,6 +131,78 @@ class TokenMemory:
         return gathered(self.young.flat, offsets[numbers], offsets[numbers + 1] - offsets[numbers])
 
 
+class RunMemory:
+    """Token ids of runs of text (bytes), each learned once while it is remembered, in a bounded number of bytes.
+
+    What is in use is a dictionary of at most about most runs. When it is full, its runs move to a packed store: sorted
+    128-bit digests, and ids one after another, some 35 bytes a run. The store keeps most_packed runs; beyond, those that
+    were not asked for again since they came are forgotten, so rare runs do not push out frequent ones. learn takes a list of
+    runs and returns their ids in one array and the number of ids of each."""
+
+    def __init__(self, learn, most: int = 80_000, most_packed: int = 300_000):
+        self.learn, self.most, self.most_packed = learn, most, most_packed
+        self._clear()
+        self.digests, self.starts, self.flat = np.zeros((0, 2), U64), np.zeros(1, np.int64), np.zeros(0, np.uint32)  # the store
+        self.again = np.zeros(0, bool)
+
+    def _clear(self) -> None:
+        self.index, self.young_digests = _Numbers(), []
+        self.young_flat, self.young_starts = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def numbers(self, cuts: list[list[bytes]]) -> list[np.ndarray]:
+        """The number of each run, list by list; they hold until the next call."""
+        if len(self.index) > self.most:
+            self._store()
+        known, number = len(self.young_starts) - 1, self.index.__getitem__
+        out = [np.fromiter(map(number, keys), dtype=np.int64, count=len(keys)) for keys in cuts]
+        if len(self.index) > known:
+            self._add(list(islice(self.index, known, None)))
+        return out
+
+    def _add(self, fresh: list[bytes]) -> None:
+        asked = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, fresh)), dtype="<u8").reshape(-1, 2)
+        at = np.searchsorted(self.digests[:, 0], asked[:, 0])
+        there = at < len(self.digests)
+        there[there] = (self.digests[at[there]] == asked[there]).all(axis=1)
+        at = at[there]
+        self.again[at] = True
+        start, length = np.zeros(len(fresh), np.int64), np.zeros(len(fresh), np.int64)
+        start[there], length[there] = self.starts[at], self.starts[at + 1] - self.starts[at]
+        flat, lengths = self.learn([k for k, seen in zip(fresh, there.tolist(), strict=True) if not seen])
+        length[~there] = lengths
+        start[~there] = len(self.flat) + np.cumsum(lengths) - lengths
+        ids = gathered(np.concatenate([self.flat, flat.astype(np.uint32)]), start, length)
+        self.young_flat = np.concatenate([self.young_flat, ids])
+        self.young_starts = np.concatenate([self.young_starts, self.young_starts[-1] + np.cumsum(length)])
+        self.young_digests.append(asked)
+
+    def _store(self) -> None:
+        """Move the runs in use to the store."""
+        digests = np.concatenate([self.digests, *self.young_digests])
+        lengths = np.concatenate([np.diff(self.starts), np.diff(self.young_starts)])
+        starts = np.concatenate([self.starts[:-1], len(self.flat) + self.young_starts[:-1]])
+        again = np.concatenate([self.again, np.zeros(len(digests) - len(self.again), bool)])
+        flat = np.concatenate([self.flat, self.young_flat])
+        order = np.lexsort((digests[:, 1], digests[:, 0]))
+        digests = digests[order]
+        first = np.ones(len(order), bool)
+        first[1:] = (digests[1:] != digests[:-1]).any(axis=1)
+        kept = again[order] | np.concatenate([~first[1:], [False]])  # a run of both places was asked for again
+        order, digests, kept = order[first], digests[first], kept[first]
+        if len(order) > self.most_packed:
+            if kept.sum() > self.most_packed // 2:
+                kept &= np.arange(len(kept)) % 2 == 0  # digests are random, so this is any half
+            order, digests, kept = order[kept], digests[kept], np.zeros(int(kept.sum()), bool)
+        self.digests, self.again = digests, kept
+        self.flat = gathered(flat, starts[order], lengths[order])
+        self.starts = np.concatenate([[0], np.cumsum(lengths[order])])
+        self._clear()
+
+    def ids(self, numbers: np.ndarray) -> np.ndarray:
+        """The ids of the runs of these numbers, one after another."""
+        return gathered(self.young_flat, self.young_starts[numbers], self.young_starts[numbers + 1] - self.young_starts[numbers])
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values (multiply and shift)."""
     x = x ^ (x >> U64(30))

@@ -14,6 +14,7 @@ empty result; other columns are not read.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -22,13 +23,16 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm.common import TokenMemory, cut, kept_in_process, lean, text_bytes, tokenizer_path
+from causeway.llm.common import RunMemory, cut, gathered, kept_in_process, lean, text_bytes, tokenizer_path
 
 VOCABULARY = "word_bpe_49k.json"
 CAPACITY = 2048
 SEPARATOR = 0
+REMEMBERED = 300_000  # runs whose ids a worker keeps
 PART_PIECES = 30_000  # pieces that are packed in one task
 ROUNDS = 3
+WORD_END = "</w>"  # the ending of a word's last token in the vocabulary
+PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")  # letters of ASCII and Latin-1, which no normalisation joins or parts
 ENCODED_AT_ONCE = 4096  # runs that the tokenizer is given at once; what it returns for a run is large
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -37,49 +41,88 @@ class ChunkIds:
     """Token ids of texts by a tokenizer that drops white space and case: runs between ASCII white space are encoded once.
 
     White space ends every word of the vocabulary, so ids of a text are those of its runs, one after another. So does
-    a comma or full stop after a letter; a run that ends in one has the ids of the rest and of the mark. Special tokens
-    are told by case, so only texts without their beginning are lower-cased as a whole."""
+    a comma or full stop after a letter; a run that ends in one has the ids of the rest and of the mark. Runs of plain
+    letters are one word each, and the last token of a word carries the vocabulary's ending, so many of them are encoded
+    as one text and told apart by their endings. Special tokens are told by case, so only texts without their beginning are lower-cased as a whole."""
 
-    def __init__(self, path: str, most: int = 150_000, most_bytes: int = 6 << 20):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.encode_batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = token.endswith(WORD_END)
         self.marks = {m: self._encode([m])[0] for m in (b",", b".")}
-        self.memory = TokenMemory(self._learn, most, most_bytes)
+        self.memory = RunMemory(self._learn, remembered // 6, remembered)
 
     def _encode(self, runs: list[bytes]) -> list[list[int]]:
+        """Ids of each run by itself."""
         out: list[list[int]] = []
         for at in range(0, len(runs), ENCODED_AT_ONCE):
             some = [r.decode("utf-8", "replace") for r in runs[at : at + ENCODED_AT_ONCE]]
             out += [e.ids for e in self.encode_batch(some, add_special_tokens=False)]
         return out
 
-    def _learn(self, fresh: list[bytes]) -> tuple[np.ndarray, np.ndarray, None]:
-        parts = []
-        for w in fresh:
-            core = w if b"<|" in w else w.lower()
-            mark = core[-1:] if len(core) > 1 and core[-1:] in self.marks and core[-2:-1].isalpha() else b""
-            parts.append((core[:-1] if mark else core, mark))
-        cores = list({c for c, _ in parts})
-        known = dict(zip(cores, self._encode(cores), strict=True))
-        ids = [known[c] + self.marks[m] if m else known[c] for c, m in parts]
-        return np.fromiter(chain.from_iterable(ids), dtype=np.uint32), np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)), None
+    def _encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of plain letters, one after another, and how many each has."""
+        flat, lengths = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for at in range(0, len(words), ENCODED_AT_ONCE):
+            some = words[at : at + ENCODED_AT_ONCE]
+            ids = np.array(self.encode_batch([b" ".join(some).decode()], add_special_tokens=False)[0].ids, dtype=np.uint32)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(some) and int(ends[-1]) == len(ids):
+                flat.append(ids)
+                lengths.append(np.diff(ends, prepend=0))
+            else:  # another vocabulary may end words in another way
+                each = self._encode(some)
+                flat.append(np.fromiter(chain.from_iterable(each), dtype=np.uint32))
+                lengths.append(np.fromiter(map(len, each), dtype=np.int64, count=len(each)))
+        return np.concatenate(flat), np.concatenate(lengths)
+
+    def _learn(self, fresh: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        lower = [w if b"<|" in w else w.lower() for w in fresh]
+        marked = [len(w) > 1 and w[-1:] in self.marks and w[-2:-1].isalpha() for w in lower]
+        cores = [w[:-1] if m else w for w, m in zip(lower, marked, strict=True)]
+        number: dict[bytes, int] = {}
+        core_of = np.fromiter((number.setdefault(c, len(number)) for c in cores), dtype=np.int64, count=len(cores))
+        distinct = list(number)
+        plain = np.fromiter((PLAIN.fullmatch(c) is not None for c in distinct), dtype=bool, count=len(distinct))
+        flat, some = self._encode_words([c for c, p in zip(distinct, plain.tolist(), strict=True) if p])
+        odd = self._encode([c for c, p in zip(distinct, plain.tolist(), strict=True) if not p])
+        flat = np.concatenate([flat, np.fromiter(chain.from_iterable(odd), dtype=np.uint32), *[np.array(ids, dtype=np.uint32) for ids in self.marks.values()]])
+        lengths = np.zeros(len(distinct), np.int64)
+        lengths[plain], lengths[~plain] = some, np.fromiter(map(len, odd), dtype=np.int64, count=len(odd))
+        starts = np.zeros(len(distinct), np.int64)
+        starts[plain] = np.cumsum(some) - some
+        starts[~plain] = int(some.sum()) + np.cumsum(lengths[~plain]) - lengths[~plain]
+        # a run is its core and, if it has one, its mark: two slices of flat
+        behind, mark_start, mark_length = int(lengths.sum()), {}, {}
+        for m, ids in self.marks.items():
+            mark_start[m], mark_length[m], behind = behind, len(ids), behind + len(ids)
+        marks = [w[-1:] if m else b"" for w, m in zip(lower, marked, strict=True)]
+        start, length = np.zeros(2 * len(fresh), np.int64), np.zeros(2 * len(fresh), np.int64)
+        start[::2], length[::2] = starts[core_of], lengths[core_of]
+        start[1::2] = [mark_start.get(m, 0) for m in marks]
+        length[1::2] = [mark_length.get(m, 0) for m in marks]
+        return gathered(flat, start, length), length[::2] + length[1::2]
 
     def __call__(self, texts: list[bytes | None]) -> list[np.ndarray]:
         cuts = [(t if b"<|" in t else t.lower()).split() if t else [] for t in texts]
         return [self.memory.ids(n) for n in self.memory.numbers(cuts)]
 
 
-def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, separator: int = SEPARATOR) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32: each document's ids and a separator, cut only where it exceeds capacity."""
+def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, separator: int = SEPARATOR, remembered: int = REMEMBERED) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32: each document's ids and a separator, cut only where it exceeds capacity.
+
+    remembered: runs whose ids a worker keeps; more take memory (100 MB for a million) and save time."""
     path = path or tokenizer_path(VOCABULARY)
 
     def cut_up(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        encode = kept_in_process(("chunk ids", path), lambda: ChunkIds(path))
+        encode = kept_in_process(("chunk ids", path, remembered), lambda: ChunkIds(path, remembered))
         for batch in batches:
             ids, texts = batch["doc_id"].to_pylist(), text_bytes(batch["text"])
             rows: list[tuple] = []
@@ -184,9 +227,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, part_pieces: int = PART_PI
     return done
 
 
-def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    return pack(token_pieces(docs, path, capacity), capacity)
+def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, remembered: int = REMEMBERED) -> DataFrame:
+    return pack(token_pieces(docs, path, capacity, remembered=remembered), capacity)
 
 
 def op9_bestfit_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), remembered=5 * REMEMBERED)
