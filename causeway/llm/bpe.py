@@ -2,12 +2,16 @@
 
 The vocabulary's pattern cuts texts into words. Each distinct word of a batch becomes rows of token and position,
 beginning with its single bytes. A recursive query joins neighbouring tokens with the merge table and contracts, in
-every word at once, the leftmost pair of the least rank; a word without a pair in the table is done. In long words,
-pairs whose order cannot matter are contracted in the same step: all other places of the least pair, where the merged
-token is never part of a merge of a lower rank (they would follow one after another from left to right, so a run of one
-letter takes logarithmically many steps), and each pair of a lower rank than every merge of one of its two tokens, or of
-what they become, with any token that ends in the byte before or begins with the byte behind (nothing can come before it
-or be brought forward by it, so an irregular word takes few steps). Words that are in the vocabulary as they are need no query, as in the tiktoken library. Decoding joins ids
+every word at once, the leftmost pair of the least rank; a word without a pair in the table is done.
+
+A long word is cut into short pieces, each contracted by the same query, and put together again at its seams. Tokens are
+the encoding of a word exactly if every two neighbours are the encoding of their own bytes: a merge across the border of two
+tokens, the first one that there is, would also be made where only these two are encoded. So a seam whose two tokens are
+theirs is sound; at another, a window of tokens on both sides is contracted anew and widened until its borders are sound.
+Where a word repeats one to four bytes over a long stretch, pieces begin with the stretch and hold a power of two of
+repetitions, as merges of equal pairs go from left to right.
+
+Words that are in the vocabulary as they are need no query, as in the tiktoken library. Decoding joins ids
 with the vocabulary and aggregates the bytes in order of position.
 
 Runs between single blanks that stand before something else than white space are cut once and remembered, since the
@@ -42,7 +46,10 @@ QUERY_BYTES = 1 << 19  # bytes of words in one query
 CACHE = 250_000  # words, and runs, of one of two generations that are remembered
 CACHE_BYTES = 10 << 20  # bytes of runs and their ids in one generation
 
-SHORT = 64  # bytes of a word whose pairs are contracted one at a time; longer ones take the query that does many
+SHORT = 64  # bytes of a word that is contracted whole
+PIECE = 96  # bytes of a piece of a longer word
+REPEATS = 64  # repetitions in a piece of a stretch that repeats itself
+WINDOW = 4  # tokens on each side of a seam that are contracted anew, at first
 CONTRACT = """
 WITH RECURSIVE t(k, tok, live) AS (
     SELECT k, tok, true FROM start
@@ -50,53 +57,19 @@ WITH RECURSIVE t(k, tok, live) AS (
     SELECT k, tok, live
     FROM (
         WITH r AS MATERIALIZED (
-            SELECT k, tok, CASE WHEN lead(k) OVER w >> 16 = k >> 16 THEN lead(tok) OVER w END AS nxt, CASE WHEN lag(k) OVER w >> 16 = k >> 16 THEN lag(k) OVER w END AS prev
+            SELECT k, tok, CASE WHEN lead(k) OVER w >> 32 = k >> 32 THEN lead(tok) OVER w END AS nxt, CASE WHEN lag(k) OVER w >> 32 = k >> 32 THEN lag(k) OVER w END AS prev
             FROM t WHERE live WINDOW w AS (ORDER BY k)
         ), b AS (
-            SELECT k >> 16 AS word, min(m.rank::BIGINT * 65536 + (k & 65535)) AS best FROM r JOIN merges m ON r.tok::BIGINT * 65536 + r.nxt = m.pair GROUP BY ALL
+            SELECT k >> 32 AS word, min(m.rank::BIGINT * 4294967296 + (k & 4294967295)) AS best FROM r JOIN merges m ON r.tok::BIGINT * 65536 + r.nxt = m.pair GROUP BY ALL
         )
-        SELECT r.k, CASE WHEN r.k & 65535 = b.best & 65535 THEN (b.best >> 16)::INT ELSE r.tok END AS tok, b.best IS NOT NULL AS live
-        FROM r LEFT JOIN b ON r.k >> 16 = b.word
-        WHERE b.best IS NULL OR r.prev & 65535 IS DISTINCT FROM b.best & 65535
+        SELECT r.k, CASE WHEN r.k & 4294967295 = b.best & 4294967295 THEN (b.best >> 32)::INT ELSE r.tok END AS tok, b.best IS NOT NULL AS live
+        FROM r LEFT JOIN b ON r.k >> 32 = b.word
+        WHERE b.best IS NULL OR r.prev & 4294967295 IS DISTINCT FROM b.best & 4294967295
     )
 )
-SELECT k >> 16 AS word, list(tok ORDER BY k) AS ids FROM t WHERE NOT live GROUP BY ALL ORDER BY word
+SELECT k >> 32 AS word, list(tok ORDER BY k) AS ids FROM t WHERE NOT live GROUP BY ALL ORDER BY word
 """  # k: the word's number and the token's position in one number, so that one sort serves all words
 
-CONTRACT_LONG = """
-WITH RECURSIVE t(word, pos, tok, head, tail, live) AS (
-    SELECT word, pos, tok, tok, tok, true FROM start
-  UNION ALL
-    SELECT word, (row_number() OVER (PARTITION BY word ORDER BY pos))::INT, CASE WHEN here THEN rank ELSE tok END, head,
-           CASE WHEN here THEN next_tail ELSE tail END, best IS NOT NULL
-    FROM (
-        SELECT *, coalesce(lag(here) OVER (PARTITION BY word ORDER BY pos), false) AS eaten
-        FROM (
-            SELECT *, safe OR coalesce(hit AND CASE WHEN calm THEN (pos - min(pos) OVER (PARTITION BY word, island)) % 2 = 0
-                                   ELSE pos = min(CASE WHEN hit THEN pos END) OVER (PARTITION BY word) END, false) AS here
-            FROM (
-                SELECT *, coalesce(rank = best, false) AS hit,
-                       pos - row_number() OVER (PARTITION BY word, coalesce(rank = best, false) ORDER BY pos) + CASE WHEN coalesce(rank = best, false) THEN 0 ELSE 1000000000 END AS island
-                FROM (
-                    SELECT p.*, m.rank, m.calm, min(m.rank) OVER (PARTITION BY p.word) AS best,
-                           coalesce(m.rank < least(coalesce(l.rank, 2147483647), coalesce(f.rank, 2147483647), coalesce(lm.rank, 2147483647), coalesce(fm.rank, 2147483647)), false) AS safe
-                    FROM (
-                        SELECT word, pos, tok, head, tail, lead(tok) OVER w AS nxt, lead(tail) OVER w AS next_tail, lead(head, 2) OVER w AS after, lag(tail) OVER w AS before
-                        FROM t WHERE live WINDOW w AS (PARTITION BY word ORDER BY pos)
-                    ) p
-                    LEFT JOIN merges m ON p.tok = m.a AND p.nxt = m.b
-                    LEFT JOIN before_token l ON p.before = l.side AND p.tok = l.tok
-                    LEFT JOIN after_token f ON p.after = f.side AND p.nxt = f.tok
-                    LEFT JOIN before_token lm ON p.before = lm.side AND m.rank = lm.tok
-                    LEFT JOIN after_token fm ON p.after = fm.side AND m.rank = fm.tok
-                )
-            )
-        )
-    ) WHERE NOT eaten
-)
-SELECT word, list(tok ORDER BY pos) AS ids FROM t WHERE NOT live GROUP BY word ORDER BY word
-"""
-
 DECODE = """
 SELECT doc, string_agg(v.chars, '' ORDER BY pos) AS chars, count(*) AS n
 FROM (SELECT doc, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM docs_ids) d JOIN vocabulary v USING (id)
@@ -127,20 +100,12 @@ class Bpe:
                 if a is not None and b is not None:
                     merges.append((a, b, rank))
         a, b, rank = (np.array(x, dtype=np.int32) for x in zip(*merges, strict=True))
-        restless = set(a[rank < a].tolist()) | set(b[rank < b].tolist())  # they can begin a merge of a lower rank
-        self._table("merges", pa.table({"a": a, "b": b, "pair": a.astype(np.int64) * 65536 + b, "rank": rank, "calm": ~np.isin(rank, list(restless))}))
+        self._table("merges", pa.table({"pair": a.astype(np.int64) * 65536 + b, "rank": rank}))
         chars = ["".join(chr(256 + x) for x in t) for t in self.ranks]
         self._table("vocabulary", pa.table({"id": pa.array(list(self.ranks.values()), pa.int32()), "chars": chars}))
         self.byte_ids = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int32)
-        # the least rank of a merge of a token with any token before it that ends in a byte, or behind it that begins with one
-        heads, tails = np.zeros((2, max(self.ranks.values()) + 1), dtype=np.int32)
-        for token, i in self.ranks.items():
-            heads[i], tails[i] = self.byte_ids[token[0]], self.byte_ids[token[-1]]
-        for name, side, tok in (("before_token", tails[a], b), ("after_token", heads[b], a)):
-            order = np.lexsort((rank, tok, side))
-            first = np.concatenate([[True], (np.diff(side[order]) != 0) | (np.diff(tok[order]) != 0)])
-            keep = order[first]
-            self._table(name, pa.table({"side": side[keep], "tok": tok[keep], "rank": rank[keep]}))
+        self.tokens = {i: t for t, i in self.ranks.items()}
+        self.sound: dict[tuple[int, int], bool] = {}  # pairs of tokens at seams
         self.words = TokenMemory(self._contract, CACHE, CACHE_BYTES)  # ids of words, and with decoding their bytes
         self.memory = TokenMemory(self._learn, CACHE, CACHE_BYTES)  # ids of runs, and with decoding their bytes
         self.decoding = decoding
@@ -162,12 +127,90 @@ class Bpe:
                 out[i] = rank.to_bytes(4, "little")
             else:
                 (long if len(raw) > SHORT else short).append((i, raw))
-        self._run(short, False, out)
-        self._run(long, True, out)
+        self._run(short, out)
+        for (i, _), ids in zip(long, self._put_together([raw for _, raw in long]), strict=True):
+            out[i] = np.array(ids, dtype="<u4").tobytes()
         flat, lengths = np.frombuffer(b"".join(out), dtype="<u4"), np.fromiter(map(len, out), dtype=np.int64, count=len(out)) // 4
         return flat, lengths, self._decode(flat, lengths.tolist()) if self.decoding and words else [] if self.decoding else None
 
-    def _run(self, todo: list[tuple[int, bytes]], long: bool, out: list[bytes]) -> None:
+    def _pieces(self, raw: bytes) -> list[bytes]:
+        """A long word, cut into pieces."""
+        a = np.frombuffer(raw, dtype=np.uint8)
+        step, starts = np.full(len(a), PIECE), {0}
+        for period in (4, 3, 2, 1):  # the shortest period of a stretch counts
+            same = np.concatenate([[False], a[period:] == a[:-period], [False]])
+            edges = np.flatnonzero(same[1:] != same[:-1])
+            for lo, hi in zip(edges[::2].tolist(), (edges[1::2] + period).tolist(), strict=True):
+                if hi - lo >= 4 * period * REPEATS:
+                    step[lo:hi] = period * REPEATS
+                    starts |= {lo, hi}
+        out = []
+        for lo, hi in pairwise([*sorted(s for s in starts if s < len(a)), len(a)]):
+            width = int(step[lo])
+            out += [raw[at : min(hi, at + width)] for at in range(lo, hi, width)]
+        return out
+
+    def _ids(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of byte strings, contracted whole, equal ones once."""
+        number = {w: i for i, w in enumerate(dict.fromkeys(words))}
+        out: list[bytes] = [b""] * len(number)
+        self._run([(i, w) for w, i in number.items()], out)
+        found = [np.frombuffer(x, dtype="<u4").tolist() for x in out]
+        return [found[number[w]] for w in words]
+
+    def _check(self, pairs: list[tuple[int, int]]) -> None:
+        """Find out which pairs of tokens are the encoding of their bytes."""
+        if len(self.sound) > CACHE:
+            self.sound.clear()
+        new = [p for p in dict.fromkeys(pairs) if p not in self.sound]
+        for p, ids in zip(new, self._ids([self.tokens[a] + self.tokens[b] for a, b in new]), strict=True):
+            self.sound[p] = ids == list(p)
+
+    def _put_together(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of long words."""
+        cuts = [self._pieces(w) for w in words]
+        ids = iter(self._ids([p for c in cuts for p in c]))
+        parts = [[next(ids) for _ in c] for c in cuts]
+        self._check([(a[-1], b[0]) for ps in parts for a, b in pairwise(ps)])
+        for i, ps in enumerate(parts):
+            joined: list[list[int]] = []
+            for p in ps:
+                if joined and self.sound.get((joined[-1][-1], p[0])):
+                    joined[-1] += p
+                else:
+                    joined.append(list(p))
+            parts[i] = joined
+        while seams := [(i, k) for i, ps in enumerate(parts) for k in range(0, len(ps) - 1, 2)]:
+            done = self._mend([(parts[i][k], parts[i][k + 1]) for i, k in seams])
+            for (i, k), ids in zip(seams, done, strict=True):
+                parts[i][k], parts[i][k + 1] = ids, []
+            parts = [[p for p in ps if p] for ps in parts]
+        return [ps[0] for ps in parts]
+
+    def _mend(self, seams: list[tuple[list[int], list[int]]]) -> list[list[int]]:
+        """Each two encodings as that of their bytes together."""
+        out: list[list[int]] = [[] for _ in seams]
+        todo, width = list(range(len(seams))), WINDOW
+        while todo:
+            windows = [(seams[i][0][-width:], seams[i][1][:width]) for i in todo]
+            middles = self._ids([b"".join(map(self.tokens.__getitem__, a + b)) for a, b in windows])
+            borders = []
+            for i, middle in zip(todo, middles, strict=True):
+                a, b = seams[i]
+                borders.append([*([(a[-width - 1], middle[0])] if len(a) > width else []), *([(middle[-1], b[width])] if len(b) > width else [])])
+            self._check([p for ps in borders for p in ps])
+            again = []
+            for i, middle, ps in zip(todo, middles, borders, strict=True):
+                if all(self.sound[p] for p in ps):
+                    a, b = seams[i]
+                    out[i] = a[: max(0, len(a) - width)] + middle + b[width:]
+                else:
+                    again.append(i)
+            todo, width = again, 2 * width
+        return out
+
+    def _run(self, todo: list[tuple[int, bytes]], out: list[bytes]) -> None:
+        """Contract byte strings by the recursive query; their ids as little-endian unsigned 32-bit integers."""
         import pyarrow as pa
 
         at = 0
@@ -181,9 +224,8 @@ class Bpe:
             ends = np.cumsum(lengths)
             word = np.repeat(np.arange(len(some), dtype=np.int32), lengths)
             pos = (np.arange(size) - np.repeat(ends - lengths, lengths) + 1).astype(np.int32)
-            place = {"word": word, "pos": pos} if long else {"k": word.astype(np.int64) << 16 | pos}
-            self.db.register("start", pa.table(place | {"tok": self.byte_ids[np.frombuffer(b"".join(some), dtype=np.uint8)]}))
-            ids = self.db.sql(CONTRACT_LONG if long else CONTRACT).to_arrow_table()["ids"].combine_chunks()
+            self.db.register("start", pa.table({"k": word.astype(np.int64) << 32 | pos, "tok": self.byte_ids[np.frombuffer(b"".join(some), dtype=np.uint8)]}))
+            ids = self.db.sql(CONTRACT).to_arrow_table()["ids"].combine_chunks()
             self.db.unregister("start")
             flat, cuts = ids.values.to_numpy().astype("<u4").tobytes(), (4 * ids.offsets.to_numpy().astype(np.int64)).tolist()
             for (i, _), lo, hi in zip(todo[at:end], cuts[:-1], cuts[1:], strict=True):
