@@ -17,11 +17,14 @@ U64 = np.uint64
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder that the cluster names in spark.checkpoint.dir; one of our own only where it names none (tests)."""
+    """Use the folder that the cluster names in spark.checkpoint.dir; a local session that names none (tests) gets one of its own."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp"))
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+        raise ValueError("a cluster must name a shared folder in spark.checkpoint.dir")
+    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp"))
 
 
 def cut(df: DataFrame) -> DataFrame:
