@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from causeway.functions.dist import two_sided_normal
+from causeway.operators.independence import kernel_test
 from causeway.operators.moments import Moments, complete, moments, partial_correlation, scaled_inverse
 from causeway.plans.graph import CausalGraph
 
@@ -155,14 +156,22 @@ def to_dag(nodes: list[str], directed: set, undirected: set) -> CausalGraph:
     return g
 
 
-def pc(df: DataFrame, columns: list[str], alpha: float = 0.05, test: str = "fisherz") -> CausalGraph:
-    """Skeleton, colliders, Meek's rules."""
+def independence(df: DataFrame, columns: list[str], alpha: float, test: str):
+    """A function that tells whether two columns are independent given others, by a test: fisherz (one moment matrix for all),
+    chisq (a count of cells each) or kernel (two passes each)."""
     if test == "fisherz":
         m = moments(df, columns)
-        independent = lambda a, b, s: fisher_z(m, a, b, s)[1] > alpha
-    else:
-        independent = lambda a, b, s: chi_square_independent(df, a, b, s, alpha)
-    g, sets = skeleton(sorted(columns), independent)
+        return lambda a, b, s: fisher_z(m, a, b, s)[1] > alpha
+    if test == "chisq":
+        return lambda a, b, s: chi_square_independent(df, a, b, s, alpha)
+    if test == "kernel":
+        return lambda a, b, s: kernel_test(df, a, b, s)[1] > alpha
+    raise ValueError(f"no test is called {test!r}")
+
+
+def pc(df: DataFrame, columns: list[str], alpha: float = 0.05, test: str = "fisherz") -> CausalGraph:
+    """Skeleton, colliders, Meek's rules."""
+    g, sets = skeleton(sorted(columns), independence(df, columns, alpha, test))
     colliders(g, sets)
     return to_dag(g.nodes, *meek(*parts(g)))
 
@@ -209,10 +218,6 @@ def fci_from(nodes: list[str], independent) -> MixedGraph:
     return oriented(g, sets)
 
 
-def fci_pag(m: Moments, columns: list[str], alpha: float = 0.05) -> MixedGraph:
-    return fci_from(columns, lambda a, b, s: fisher_z(m, a, b, s)[1] > alpha)
-
-
 class _Marks:
     """Puts marks in place of circles, and notes whether any was put."""
 
@@ -369,8 +374,8 @@ def pag_to_dag(g: MixedGraph) -> CausalGraph:
     return out.without_cycles()
 
 
-def fci(df: DataFrame, columns: list[str], alpha: float = 0.05) -> CausalGraph:
-    return pag_to_dag(fci_pag(moments(df, columns), columns, alpha))
+def fci(df: DataFrame, columns: list[str], alpha: float = 0.05, test: str = "fisherz") -> CausalGraph:
+    return pag_to_dag(fci_from(columns, independence(df, columns, alpha, test)))
 
 
 def local_bic(m: Moments, y: str, parents) -> float:
@@ -636,63 +641,144 @@ def mmd_features(a: DataFrame, b: DataFrame, features: int = FEATURES, seed: int
     return float(each.mean(axis=1).sum()), float(np.sqrt((each.var(axis=1, ddof=1) / features).sum()))
 
 
-def generator_loss(x: np.ndarray, y: np.ndarray, hidden: int, runs: int, steps: int = 150, seed: int = 0) -> float:
-    """Mean discrepancy of (x, f(x, noise)) from (x, y) for one-hidden-layer nets f fitted to y, over several starts."""
-    out, n = [], len(x)
-    for r in range(runs):
-        rng = np.random.default_rng(seed + r)
-        w1, b1 = rng.normal(size=(2, hidden)), rng.normal(size=hidden)
-        w2, lr = rng.normal(size=hidden) / hidden, 0.05
-        for _ in range(steps):
-            u = np.column_stack([x, rng.normal(size=n)])
-            a = np.maximum(u @ w1 + b1, 0)
-            f = a @ w2
-            d1, d2 = f[:, None] - y[None, :], f[:, None] - f[None, :]
-            dx = (x[:, None] - x[None, :]) ** 2
-            grad = np.zeros(n)
-            for g in BANDWIDTHS:
-                grad += (4 * g * d1 * np.exp(-g * (dx + d1**2))).sum(1) / n**2 - (4 * g * d2 * np.exp(-g * (dx + d2**2))).sum(1) / n**2
-            da = np.outer(grad, w2) * (a > 0)
-            w2 -= lr * (a.T @ grad)
-            w1 -= lr * (u.T @ da)
-            b1 -= lr * da.sum(0)
-        u = np.column_stack([x, rng.normal(size=n)])
-        f = np.maximum(u @ w1 + b1, 0) @ w2
-        out.append(mmd(np.column_stack([x, y]), np.column_stack([x, f])))
-    return float(np.mean(out))
-
-
-def cgnn(df: DataFrame, columns: list[str], hidden=(5, 10, 20), runs: int = 8, most_rows: int = 500, key: list[str] | None = None) -> CausalGraph:
-    """Orientation of a complete skeleton by generator nets, for tables of few rows (a bounded, hash-ordered sample).
-
-    Each pair and direction is one row that executors fit; more hidden units are tried while they gain over 0.001."""
+def joint_loss(data: np.ndarray, parents: list[list[int]], hidden: int, seed: int, steps: int = 150) -> float:
+    """Discrepancy between data and what generators of a whole graph make, after fitting them together to it.
+
+    Each node is a net with one hidden layer of its parents' generated values and noise of its own; parents come first in
+    order. The gradient of the discrepancy runs back through all nets."""
+    n, p = data.shape
+    rng = np.random.default_rng(seed)
+    nets = [{"w": rng.normal(size=(len(ps) + 1, hidden)), "b": rng.normal(size=hidden), "v": rng.normal(size=hidden) / hidden, "c": np.zeros(1)} for ps in parents]
+    first = [{k: np.zeros_like(x) for k, x in net.items()} for net in nets]
+    second = [{k: np.zeros_like(x) for k, x in net.items()} for net in nets]
+
+    def made() -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        out, inner, noise = np.zeros((n, p)), [], rng.normal(size=(n, p))
+        for i, ps in enumerate(parents):
+            u = np.column_stack([out[:, ps], noise[:, i]])
+            a = np.maximum(u @ nets[i]["w"] + nets[i]["b"], 0)
+            out[:, i] = a @ nets[i]["v"] + nets[i]["c"]
+            inner.append((u, a))
+        return out, inner
+
+    def pull(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Of each row of x: the sum over y of kernels, weighted by their steepness, times the difference."""
+        d = np.maximum(0.0, (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T)
+        k = sum(g * np.exp(-g * d) for g in BANDWIDTHS)
+        return k.sum(1)[:, None] * x - k @ y
+
+    for t in range(1, steps + 1):
+        x, inner = made()
+        grad = 4 / n**2 * (pull(x, data) - pull(x, x))
+        for i in reversed(range(p)):
+            (u, a), net = inner[i], nets[i]
+            back = np.outer(grad[:, i], net["v"]) * (a > 0)
+            slopes = {"w": u.T @ back, "b": back.sum(0), "v": a.T @ grad[:, i], "c": grad[:, i].sum(keepdims=True)}
+            if parents[i]:
+                grad[:, parents[i]] += (back @ net["w"].T)[:, :-1]
+            for k, s in slopes.items():
+                first[i][k], second[i][k] = 0.9 * first[i][k] + 0.1 * s, 0.999 * second[i][k] + 0.001 * s * s
+                net[k] -= 0.02 * first[i][k] / (1 - 0.9**t) / (np.sqrt(second[i][k] / (1 - 0.999**t)) + 1e-12)
+    return float(np.mean([mmd(made()[0], data) for _ in range(5)]))
+
+
+HIDDEN = (5, 10, 20, 30, 40, 60)
+LEAST_RUNS, MOST_RUNS, REPEATS = 8, 128, 3
+MOST_VARIATION, LEAST_GAIN = 0.05, 1e-3
+
+
+class _Trials:
+    """Fits of graphs' generators, each a row that some executor works on."""
+
+    def __init__(self, spark, data: np.ndarray):
+        self.spark, self.data, self.known = spark, data, {}
+
+    def losses(self, asked: list[tuple[tuple[tuple[int, int], ...], int, int]]) -> list[float]:
+        """Of (edges, hidden units, seed), each fitted once. Edges name columns; columns without edges take no part."""
+        new = [a for a in dict.fromkeys(asked) if a not in self.known]
+        data = self.data
+
+        def fit(batches):
+            for pdf in batches:
+                out = []
+                for edges, hidden, seed in zip(pdf["edges"], pdf["hidden"], pdf["seed"], strict=True):
+                    pairs = [tuple(map(int, e)) for e in edges]
+                    g = CausalGraph.from_edges(pairs)
+                    order = g.order()
+                    at = {c: i for i, c in enumerate(order)}
+                    out.append(joint_loss(data[:, order], [sorted(at[q] for q in g.parents(c)) for c in order], int(hidden), int(seed)))
+                yield pdf[["trial"]].assign(loss=out)
+
+        if new:
+            rows = [(i, [list(e) for e in edges], hidden, seed) for i, (edges, hidden, seed) in enumerate(new)]
+            trials = self.spark.createDataFrame(rows, "trial int, edges array<array<int>>, hidden int, seed int").repartition(min(len(rows), 256))
+            for r in trials.mapInPandas(fit, "trial int, loss double").collect():  # one number for each trial
+                self.known[new[r["trial"]]] = r["loss"]
+        return [self.known[a] for a in asked]
+
+    def scores(self, graphs: list[tuple], hidden: int, runs: int, start: int = 0) -> list[float]:
+        """Mean loss of each graph over runs of the same seeds."""
+        found = iter(self.losses([(g, hidden, start + k) for g in graphs for k in range(runs)]))
+        return [float(np.mean([next(found) for _ in range(runs)])) for _ in graphs]
+
+
+def _tuned_hidden(trials: _Trials, edges: tuple, choices, runs: int) -> int:
+    """More units while they lower the loss by more than LEAST_GAIN."""
+    best, chosen = math.inf, choices[0]
+    for h in choices:
+        (loss,) = trials.scores([edges], h, runs)
+        if loss >= best - LEAST_GAIN:
+            break
+        best, chosen = loss, h
+    return chosen
+
+
+def _tuned_runs(trials: _Trials, edges: tuple, hidden: int, most: int) -> int:
+    """More runs until the mean varies by at most MOST_VARIATION over REPEATS repetitions."""
+    runs = LEAST_RUNS
+    while runs < most:
+        means = [trials.scores([edges], hidden, runs, start=1000 * (k + 1))[0] for k in range(REPEATS)]
+        if np.std(means, ddof=1) <= MOST_VARIATION * np.mean(means):
+            break
+        runs *= 2
+    return min(runs, most)
+
+
+def cgnn(df: DataFrame, columns: list[str], hidden=HIDDEN, most_runs: int = MOST_RUNS, most_rows: int = 100, key: list[str] | None = None) -> CausalGraph:
+    """Orientation of a complete skeleton by generators of the whole graph, for tables of few rows (a bounded, hash-ordered sample).
+
+    Pairs are oriented by generators of two columns, the clearest first, then hidden units and runs are tuned on that graph, and
+    single edges are turned while the graph's discrepancy falls. All fits of a step are rows of one job."""
     names = sorted(columns)
     rows = complete(df, names).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in (key or names)])).limit(most_rows).toPandas().to_numpy(dtype=float)
-    sd = rows.std(axis=0)
-    data = (rows - rows.mean(axis=0)) / np.where(sd > 0, sd, 1)
-
-    def fit(batches):
-        for pdf in batches:
-            losses = []
-            for a, b in zip(pdf["a"], pdf["b"], strict=True):
-                best = math.inf
-                for nh in hidden:
-                    loss = generator_loss(data[:, names.index(a)], data[:, names.index(b)], nh, runs)
-                    if loss > best - 1e-3:
-                        break
-                    best = loss
-                losses.append(min(best, loss))
-            yield pdf.assign(loss=losses)
-
-    spark = df.sparkSession
-    pairs = [(a, b) for a in names for b in names if a != b]
-    got = spark.createDataFrame(pairs, "a string, b string").repartition(min(len(pairs), 64)).mapInPandas(fit, "a string, b string, loss double").collect()
-    loss = {(r["a"], r["b"]): r["loss"] for r in got}
     g = CausalGraph(set(names))
-    for a, b in sorted(combinations(names, 2), key=lambda e: -abs(loss[e] - loss[e[::-1]])):
-        src, dst = (a, b) if loss[a, b] <= loss[b, a] else (b, a)
-        if src not in g.descendants(dst):
-            g.add(src, dst, abs(loss[a, b] - loss[b, a]))
+    if len(rows) < 2 or len(names) < 2:
+        return g
+    sd = rows.std(axis=0)
+    trials = _Trials(df.sparkSession, (rows - rows.mean(axis=0)) / np.where(sd > 0, sd, 1))
+    pairs = list(combinations(range(len(names)), 2))
+    found = trials.scores([(e,) for i, j in pairs for e in ((i, j), (j, i))], hidden[0], LEAST_RUNS)
+    gap = {p: found[2 * k] - found[2 * k + 1] for k, p in enumerate(pairs)}  # below 0: the first causes the second
+    draft = CausalGraph(set(range(len(names))))
+    for i, j in sorted(pairs, key=lambda p: -abs(gap[p])):
+        a, b = (i, j) if gap[i, j] <= 0 else (j, i)
+        draft.add(*((a, b) if a not in draft.descendants(b) else (b, a)))
+    units = _tuned_hidden(trials, tuple(sorted(draft.weights)), hidden, LEAST_RUNS)
+    runs = _tuned_runs(trials, tuple(sorted(draft.weights)), units, most_runs)
+    (best,) = trials.scores([tuple(sorted(draft.weights))], units, runs)
+    while True:
+        turned = []
+        for a, b in sorted(draft.weights):
+            h = draft.copy()
+            h.drop(a, b), h.add(b, a)
+            if h.is_dag():
+                turned.append(h)
+        losses = trials.scores([tuple(sorted(h.weights)) for h in turned], units, runs)
+        if not losses or min(losses) >= best:
+            break
+        best, draft = min(losses), turned[int(np.argmin(losses))]
+    for a, b in draft.weights:
+        g.add(names[a], names[b], abs(gap[min(a, b), max(a, b)]))
     return g
 
 

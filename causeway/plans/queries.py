@@ -12,6 +12,7 @@ from causeway.operators import diagnostics as dg
 from causeway.operators import estimators as es
 from causeway.operators import likelihood as lk
 from causeway.operators import prep
+from causeway.operators.independence import kernel_test
 from causeway.operators.moments import moments
 from causeway.operators.ranks import order_statistics
 from causeway.operators.results import rounded
@@ -190,11 +191,17 @@ def q_pc_chisq_stats(spark, sf):
     return rows(spark, out, "given string, statistic double, df int, independent boolean")
 
 
-def discovered(algorithm: str, name: str, columns: list[str], limit: int | None = None):
+def q_kernel_independence(spark, sf):
+    df, out = view(spark, sf, "hidden"), []
+    for a, b, given in (("a", "d", ()), ("a", "c", ()), ("a", "c", ("b",)), ("c", "e", ("b", "f"))):
+        statistic, p, n = kernel_test(df, a, b, given)
+        out.append((a, b, ",".join(given), rounded(statistic), rounded(p), n))
+    return rows(spark, out, "a string, b string, given string, statistic double, p_value double, n long")
+
+
+def discovered(algorithm: str, name: str, columns: list[str]):
     def q(spark, sf):
-        df = view(spark, sf, name).select(*columns)
-        df = lk.sample(df, n=limit) if limit else df  # an algorithm for tables of few rows
-        return ds.ALGORITHMS[algorithm](df, columns).edge_table(spark)
+        return ds.ALGORITHMS[algorithm](view(spark, sf, name).select(*columns), columns).edge_table(spark)
 
     return q
 
@@ -282,6 +289,7 @@ QUERIES = {
     "likelihood_report": q_likelihood_report,
     "pc_fisherz_stats": q_pc_fisherz_stats,
     "pc_chisq_stats": q_pc_chisq_stats,
+    "kernel_independence": q_kernel_independence,
     "pc_edges": discovered("PC", "confounded", ["s", "t", "y"]),
     "fci_edges": discovered("FCI", "hidden", ["a", "b", "c", "d", "e", "f"]),
     "ges_local_bic": q_ges_local_bic,
@@ -292,7 +300,7 @@ QUERIES = {
     "cov_matrix": q_cov_matrix,
     "notears_edges": discovered("NOTEARS", "confounded", ["s", "t", "y"]),
     "mmd_rbf": q_mmd_rbf,
-    "cgnn_edges": discovered("CGNN", "instrumented", ["u", "t", "y"], 14),
+    "cgnn_edges": discovered("CGNN", "instrumented", ["u", "t", "y"]),
     "dsep_table": q_dsep_table,
     "graph_closure": q_graph_closure,
     "intent_rule_based": q_intent,
