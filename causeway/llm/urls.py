@@ -94,14 +94,16 @@ def fit_models(labelled: DataFrame) -> DataFrame:
         kinds = F.aggregate(own, F.lit(0.0), lambda t, x: t + F.when(x > 0, 1.0).otherwise(0.0))
         return F.when(n > 0, F.zip_with(own, shorter, lambda x, p: (x + kinds * p) / (n + kinds))).otherwise(shorter)  # also for unseen contexts
 
-    spark = labelled.sparkSession
-    level = spark.range(1).select(F.lit(0).alias("place"), *[F.array_repeat(F.lit(1.0 / SYMBOLS), SYMBOLS).alias(c) for c in ("pa", "pr")])
+    spark, level = labelled.sparkSession, None
     for k in range(ORDER + 1):  # every context of k characters, from those of k - 1
         places = spark.range(SYMBOLS**k).select(F.col("id").cast("int").alias("place"))
         own = places.join(F.broadcast(counts.select((F.col("context") - OFFSETS[k]).alias("place"), "a", "r")), "place", "left")  # at most CONTEXTS rows
-        shorter = level.select(F.col("place").alias("parent"), F.col("pa").alias("sa"), F.col("pr").alias("sr"))
-        joined = own.withColumn("parent", F.pmod("place", F.lit(SYMBOLS ** max(0, k - 1)))).join(F.broadcast(shorter), "parent")  # at most SYMBOLS**(k - 1) rows
-        level = joined.select("place", mixed("a", F.col("sa")).alias("pa"), mixed("r", F.col("sr")).alias("pr"))
+        if level is None:  # the one context without characters is mixed with the uniform distribution
+            own = own.select("*", *[F.array_repeat(F.lit(1.0 / SYMBOLS), SYMBOLS).alias(c) for c in ("sa", "sr")])
+        else:
+            shorter = level.select(F.col("place").alias("parent"), F.col("pa").alias("sa"), F.col("pr").alias("sr"))  # SYMBOLS**(k - 1) rows
+            own = own.withColumn("parent", F.pmod("place", F.lit(SYMBOLS ** (k - 1)))).join(F.broadcast(shorter), "parent")
+        level = own.select("place", mixed("a", F.col("sa")).alias("pa"), mixed("r", F.col("sr")).alias("pr"))
     ratios = level.select("place", F.zip_with("pa", "pr", lambda a, r: F.ln(a) - F.ln(r)).alias("ratio"))
     return ratios.agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "ratio"))), lambda x: x["ratio"]).alias("model"))  # SYMBOLS**ORDER entries
 
