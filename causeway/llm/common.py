@@ -44,6 +44,25 @@ def bounded_ids(df: DataFrame, id_col: str, bound: int) -> DataFrame:
     return ids.orderBy(F.xxhash64(id_col), id_col).limit(bound)
 
 
+HOT_ROWS = 1_000  # rows of a key, above which it may count as hot
+MOST_HOT = 100_000  # more keys than these are never hot
+
+
+def join_counted(left: DataFrame, right: DataFrame, key: str, n: str, rows: int, how: str = "inner") -> DataFrame:
+    """left joined to right (inner or left), where right has one row for each key and, in n, how often left has it.
+
+    A key is hot if it has more than HOT_ROWS and more than one in MOST_HOT of all rows, so there are MOST_HOT hot keys at
+    most. Their rows of right are broadcast and those of left stay where they are; only the others are shuffled by key,
+    and neither rows of a hot key nor those without a key meet in one task. left is read once for each of these parts
+    and should be a written table; rows is the number of its rows, or more."""
+    least = max(HOT_ROWS, rows // MOST_HOT)
+    hot = right.where(F.col(n) > least)
+    out = left.join(F.broadcast(hot), key)
+    others = left.where(F.col(key).isNotNull()).join(F.broadcast(hot.select(key)), key, "left_anti")
+    out = out.unionByName(others.join(right.where(F.col(n) <= least), key, how))
+    return out.unionByName(left.where(F.col(key).isNull()), allowMissingColumns=True) if how == "left" else out
+
+
 def parallelism(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -240,6 +240,14 @@ def test_fingerprints(spark, docs):
     assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"], r["near_edited"], r["near_next"]) for r in got) == want
     same = fingerprint.fingerprints(spark.createDataFrame([(1, "Ａ b"), (2, "a  B"), (3, "c")], "doc_id long, text string"))
     assert [len(set(x)) for x in zip(*by_id(same, "doc_id", "fingerprint"))] == [3, 2]
+    rows = [(None, "aa"), (None, "bb"), (1, "cc"), (1, "dd"), (1, "CC"), (2, "aa"), (None, None), (3, " ")]
+    clash = fingerprint.fingerprints(spark.createDataFrame(rows, "doc_id long, text string"), lambda b: "h")  # rows without id, rows of one id
+    got = Counter((r["doc_id"], r["fingerprint"]) for r in clash.collect())
+    assert {f for _, f in got} == {"h", "h-1", "h-2", "h-3", "h-4"} and sorted(got.values()) == [1, 1, 1, 1, 1, 1, 2]
+    assert len({f for i, f in got if i == 1}) == 2 and {f for i, f in got if i == 2} | {f for i, f in got if i == 3} < {f for i, f in got if i is None}
+    assert len([f for i, f in got if i is None]) == 3
+    both = fingerprint.compare_with_edited(spark.createDataFrame(rows, "doc_id long, text string"), lambda b: "h").collect()
+    assert Counter((r["doc_id"], r["fingerprint"]) for r in both) == got and all(r["edited_fingerprint"] == r["fingerprint"] for r in both if r["near_edited"] == 1)
     weak = fingerprint.fingerprints(docs.where("doc_id is not null"), lambda b: str(len(b) % 2))  # a hash that collides
     forms = {(can(t), f) for (i, t) in texts_of(docs) for j, f in by_id(weak, "doc_id", "fingerprint") if i == j and i is not None}
     assert len({a for a, _ in forms}) == len({b for _, b in forms}) == len(forms)
