@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from causeway.llm.common import cut
+from causeway.llm.common import cut, join_counted
 
 SHARDS = 16
 BUCKET_ROWS = 4000
@@ -50,7 +50,7 @@ def linked_rows(docs: DataFrame, shards: int) -> DataFrame:
         )
     ).withColumn("rid", F.monotonically_increasing_id())  # of a written table: the same at every run
     groups = rows.where("key is not null").groupBy("key").agg(F.count("*").alias("copies")).where("copies > 1")
-    joined = rows.join(groups, "key", "left")
+    joined = join_counted(rows, groups, "key", "copies", rows.count(), "left")
     return cut(joined.withColumn("shard", F.pmod(F.xxhash64("rid"), F.lit(shards)).cast("int")))
 
 
@@ -207,10 +207,12 @@ def dealt(rows: DataFrame, cells: DataFrame) -> DataFrame:
     starts = counts.select("key", "bucket", F.sum("n").over(earlier).alias("start"))
     inside = Window.partitionBy("key", "bucket").orderBy("rid")
     numbered = rows.withColumn("r", F.row_number().over(inside) - 1).join(starts, ["key", "bucket"], "left")
-    numbered = numbered.withColumn("r", F.col("r") + F.coalesce("start", F.lit(0))).drop("bucket", "start")
+    numbered = numbered.withColumn("r", F.col("r") + F.coalesce("start", F.lit(0))).drop("start")
     before = Window.partitionBy("key").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = cells.select("key", "shard", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("lo"))
-    return numbered.join(ranges, "key").where("r >= lo and r < lo + n").drop("r", "n", "lo")
+    last = F.ceil(F.sum("n").over(Window.partitionBy("key")) / BUCKET_ROWS) - 1
+    ranges = cells.select("key", "shard", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("lo"), last.alias("last"))
+    ranges = ranges.select("key", "shard", "n", "lo", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last").cast("long"))).alias("bucket"))
+    return numbered.join(ranges, ["key", "bucket"]).where("r >= lo and r < lo + n").drop("r", "n", "lo", "bucket")
 
 
 def ranked(rows: DataFrame, n: int, shards: int, last: Column) -> DataFrame:
