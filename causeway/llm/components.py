@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from causeway.llm.common import cut
+from causeway.llm.common import cut, join_counted
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -13,7 +13,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Each round joins every edge to the smallest neighbour of one of its ends, so edges contract towards one star
     for each component. Rounds go on until none changes the edge table; the edges stay in the shared checkpoint
-    folder between rounds. Nodes with many edges are pre-aggregated (min) and joined, never gathered. Loops and
+    folder between rounds. Nodes with many edges are pre-aggregated (min) and joined where their edges are, never gathered. Loops and
     repeated edges do no harm; nulls are dropped; no edges give no rows.
     """
 
@@ -28,12 +28,13 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if not mark[0]:
             break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
         # large star: every larger neighbour moves to the smallest node around
-        large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        up = join_counted(both.where(F.col("v") > F.col("u")), least, "u", "n", 2 * mark[0])
+        large = cut(up.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct())
         # small star: a node and its smaller neighbours move to the smallest of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(low, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        moved = join_counted(large, low, "u", "n", 2 * mark[0]).where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         e, new = marked(moved.unionByName(low.select("u", F.col("m").alias("v"))))
         if new == mark:
             break

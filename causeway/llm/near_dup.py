@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm.common import U64, WordHashes, cut, ensure_checkpoint_dir, lean, mixed, text_bytes, window_hashes
+from causeway.llm.common import U64, WordHashes, cut, ensure_checkpoint_dir, join_counted, lean, mixed, text_bytes, window_hashes
 from causeway.llm.components import connected_components
 
 BANDS, ROWS = 32, 5
@@ -234,19 +234,20 @@ def _edges_across_blocks(docs: DataFrame, wanted: DataFrame, k: int, percent: in
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept, for every row of docs."""
     rows_of = cut(sketches(docs, k, bands, rows))
-    classes = (
+    classes = cut(
         rows_of.where("digest is not null and doc_id is not null")
         .groupBy("digest")
         .agg(F.min(F.struct("doc_id", "n_shingles", "keys")).alias("first"), F.count("*").alias("copies"))
         .select("digest", "first.*", "copies")
     )
     met = classes.select(F.col("doc_id").alias("member"), "n_shingles", F.explode("keys").alias("key"))
-    hubs = met.groupBy("key").agg(F.min("member").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
+    hubs = met.groupBy("key").agg(F.min("member").alias("hub"), F.count("*").alias("n")).where("n > 1")
     # A member that only ever is its buckets' first comes back as its own region's member.
-    regions = cut(met.join(hubs, "key").groupBy("hub", "member").agg(F.first("n_shingles").alias("n_shingles")))
+    regions = cut(join_counted(met, hubs, "key", "n", bands * classes.count()).groupBy("hub", "member").agg(F.first("n_shingles").alias("n_shingles")))
+    members = regions.count()
     sizes = regions.groupBy("hub").agg(F.count("*").alias("docs"), F.sum("n_shingles").alias("shingles"))
-    blocks = sizes.select("hub", F.ceil(F.greatest(F.col("docs") / BLOCK_DOCS, F.col("shingles") / BLOCK_SHINGLES)).cast("long").alias("blocks"))
-    placed = regions.join(blocks, "hub").withColumn("block", F.expr("pmod(xxhash64(member, 7), blocks)"))
+    blocks = sizes.select("hub", "docs", F.ceil(F.greatest(F.col("docs") / BLOCK_DOCS, F.col("shingles") / BLOCK_SHINGLES)).cast("long").alias("blocks"))
+    placed = join_counted(regions, blocks, "hub", "docs", members).drop("docs").withColumn("block", F.expr("pmod(xxhash64(member, 7), blocks)"))
     wanted = placed.groupBy(F.col("member").alias("doc_id")).agg(F.collect_list(F.struct("hub", "block", "blocks")).alias("regions"))
     edges = cut(_edges_in_blocks(docs, cut(wanted), k, percent))
     found = connected_components(edges)
@@ -257,8 +258,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT, bands:
         named = cut(named)
         counts = named.groupBy("hub", "component").agg(F.count("*").alias("n"))
         largest = counts.groupBy("hub").agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("largest"), F.sum("n").alias("docs"), F.max("n").alias("most"))
-        largest = largest.select("hub", "largest", F.expr("cast(ceil((docs - most) / {0}D) as long)".format(BLOCK_DOCS)).alias("rests")).where("rests > 0")
-        dealt = named.join(largest, "hub").select(
+        largest = largest.select("hub", "largest", "docs", F.expr("cast(ceil((docs - most) / {0}D) as long)".format(BLOCK_DOCS)).alias("rests")).where("rests > 0")
+        dealt = join_counted(named, largest, "hub", "docs", members).select(
             F.col("member").alias("doc_id"),
             F.struct("hub", "block", "blocks", "rests", "component", F.expr("if(component = largest, null, pmod(xxhash64(member, 11), rests))").alias("rest")).alias("r"),
         )
@@ -267,8 +268,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT, bands:
             found = connected_components(edges.unionByName(_edges_across_blocks(docs, wanted, k, percent)))
 
     component = classes.select("digest", "doc_id", "copies").join(found, F.col("doc_id") == F.col("node"), "left")
-    component = component.where("copies > 1 or component is not null").select("digest", F.coalesce("component", "doc_id").alias("component_id"))
-    out = rows_of.select("doc_id", "n_shingles", "digest").join(component, "digest", "left")
+    component = cut(component.where("copies > 1 or component is not null").select("digest", "copies", F.coalesce("component", "doc_id").alias("component_id")))
+    out = join_counted(rows_of.select("doc_id", "n_shingles", "digest"), component, "digest", "copies", rows_of.count(), "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.expr("if(component_id is null, true, coalesce(doc_id = component_id, false))"))
 

@@ -9,7 +9,9 @@ import pytest
 
 tokenizers = pytest.importorskip("public_tokenizers")
 
-from causeway.llm import bpe, packing
+from pyspark.sql import functions as F
+
+from causeway.llm import bpe, common, packing
 from causeway.llm.common import RunMemory
 
 
@@ -79,3 +81,14 @@ def test_runs_have_the_ids_of_whole_texts(remembered):
         for text, ids in zip(texts[at : at + 40], encode([t.encode() for t in texts[at : at + 40]]), strict=True):
             assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids
     assert encode([None])[0].tolist() == [] and os.environ["TOKENIZERS_PARALLELISM"] == "false"
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_joins_of_hot_keys(spark, monkeypatch, how):
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    keys = [0] * 40 + [1] * 6 + [2] * 5 + [3] + [None] * 9
+    left = spark.createDataFrame(list(enumerate(keys)), "i long, key long").repartition(4)
+    right = left.where("key is not null and key <> 3").groupBy("key").agg(F.count("*").alias("n"))
+    got = common.join_counted(left, right, "key", "n", len(keys), how)
+    want = left.join(right, "key", how)
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
