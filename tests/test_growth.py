@@ -14,7 +14,7 @@ JIT_LIMIT = 8000  # bytes of a method; the virtual machine interprets longer one
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
-@pytest.mark.parametrize("name", ["diag_dwh", "diag_sargan", "diag_reset"])
+@pytest.mark.parametrize("name", ["diag_dwh", "diag_all", "diag_sargan", "diag_reset"])
 def test_aggregates_over_derived_columns_are_compiled(spark, monkeypatch, capsys, name):
     adaptive = spark.conf.get("spark.sql.adaptive.enabled")
     spark.conf.set("spark.sql.adaptive.enabled", "false")  # an adaptive plan shows its code only once it has run
